@@ -4,18 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hunkwise.llm import licences, mixing, sharding
+from hunkwise.llm import bpe, gif, licences, mixing, quality, secrets, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _ranks(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[bytes, str]:
+    """The rank file of a public vocabulary and its splitting pattern."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read(), public_tokenizers.PATTERN
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_documents(spark, sf_dir))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.round_trip(_documents(spark, sf_dir).select("doc_id", "text"), *_ranks()))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_documents(spark, sf_dir))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_documents(spark, sf_dir))
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))
 
@@ -24,4 +44,8 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_scan(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_mix, op6_shard, op7_licences)}
+def op8_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.media_digests(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_bpe, op4_mix, op5_quality, op6_shard, op7_licences, op8_gif)}
