@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hunkwise.llm import bpe, gif, licences, mixing, quality, secrets, sharding
+from hunkwise.llm import bpe, gif, licences, minhash, mixing, quality, secrets, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_documents(spark, sf_dir))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_duplicates(_documents(spark, sf_dir))
+    return out.select("doc_id", "class_id", "group_id", "keep")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(_documents(spark, sf_dir).select("doc_id", "text"), *_ranks()))
 
@@ -48,4 +53,4 @@ def op8_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_digests(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_bpe, op4_mix, op5_quality, op6_shard, op7_licences, op8_gif)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_near_duplicates, op3_bpe, op4_mix, op5_quality, op6_shard, op7_licences, op8_gif)}
