@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hunkwise.llm import bpe, gif, licences, minhash, mixing, quality, secrets, sharding
+from hunkwise.llm import bpe, gif, licences, lines, minhash, mixing, quality, secrets, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,4 +53,9 @@ def op8_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_digests(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_near_duplicates, op3_bpe, op4_mix, op5_quality, op6_shard, op7_licences, op8_gif)}
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.line_decisions(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_near_duplicates, op3_bpe, op4_mix, op5_quality, op6_shard, op7_licences, op8_gif, op9_lines)}
