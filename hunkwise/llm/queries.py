@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hunkwise.llm import bpe, gif, licences, lines, minhash, mixing, quality, secrets, sharding
+from hunkwise.llm import bpe, gif, licences, lines, minhash, mixing, passages, quality, secrets, sharding
+from hunkwise.session import ship
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def _ranks(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[bytes, str]:
@@ -58,4 +59,8 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_near_duplicates, op3_bpe, op4_mix, op5_quality, op6_shard, op7_licences, op8_gif, op9_lines)}
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_near_duplicates, op3_bpe, op4_mix, op5_quality, op6_shard, op7_licences, op8_gif, op9_lines, op10_passages)}
