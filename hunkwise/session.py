@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "hunkwise", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,6 +31,23 @@ def build_session(app: str = "hunkwise", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the session's Python workers, once an application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        here = os.path.dirname(os.path.abspath(__file__))
+        to = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="hunkwise-")), "hunkwise_package.zip")
+        with zipfile.ZipFile(to, "w") as z:
+            for folder, _, names in os.walk(here):
+                for n in names:
+                    if n.endswith(".py"):
+                        full = os.path.join(folder, n)
+                        z.write(full, os.path.join("hunkwise", os.path.relpath(full, here)))
+        sc.addPyFile(to)
+    return spark
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
