@@ -120,7 +120,7 @@ _CODECS: dict[tuple[int, str], Codec] = {}
 
 def _codec(data, pattern: str) -> Codec:
     """One codec a worker process, whatever number of tasks it runs."""
-    key = (data.id, pattern)
+    key = (hash(data.value), pattern)
     if key not in _CODECS:
         _CODECS.clear()
         _CODECS[key] = Codec(read_ranks(data.value), pattern)
@@ -155,7 +155,8 @@ def _mapped(docs: DataFrame, ranks: bytes, pattern: str, column: str, new, work)
     data = docs.sparkSession.sparkContext.broadcast(ranks)
     names = (new,) if isinstance(new, str) else new
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.BinaryType()) for n in names]])
-    place = docs.columns.index(column)
+    columns = docs.columns
+    place = columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(data, pattern)
@@ -164,7 +165,7 @@ def _mapped(docs: DataFrame, ranks: bytes, pattern: str, column: str, new, work)
                 part = b.slice(i, j - i)
                 out = work(codec, part.column(place))
                 out = (out,) if isinstance(new, str) else out
-                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(o, pa.binary()) for o in out]], names=[*docs.columns, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(o, pa.binary()) for o in out]], names=[*columns, *names])
 
     return docs.mapInArrow(run, schema)
 
