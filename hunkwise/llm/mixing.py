@@ -87,30 +87,54 @@ def thresholds(rows: DataFrame, budgets: DataFrame, bits=BITS) -> DataFrame:
     return found.select("sid", (F.col("prefix") + nearer.cast("long")).alias("bound"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(doc_id, size, source_size, target, times, taken), a row for each document.
+def source_id(source: Column) -> Column:
+    """A key that tells null from every name."""
+    return F.concat(F.when(source.isNull(), "-").otherwise("+"), F.coalesce(source, F.lit("")))
 
-    Null text has size 0, a null source is a source of its own, ranked last.  Repeated rows (equal
-    id and text) share a hash and are taken together or not at all.  An empty table gives no rows;
-    columns other than doc_id, text and source are ignored.
-    """
-    return _mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("h")), weights, share, most)
 
+def bounds(rows: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(sid, source, source_size, target, whole, budget, bound), a row a source, of rows (source, size, h).
 
-def _mix(narrow: DataFrame, weights, share: float, most: float) -> DataFrame:
-    sid = F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce("source", F.lit("")))
-    rows = cut(narrow.withColumn("sid", sid), "mix-rows")
+    Rows that are at hand as a table with ``sid`` are used as they are.
+
+    A document is taken ``whole`` times, and once more where its hash is below ``bound`` (null: not).
+    """
+    if "sid" not in rows.columns:
+        rows = cut(rows.select("size", "h", "source", source_id(F.col("source")).alias("sid")), "mix-rows")
     sizes = rows.groupBy("sid", "source").agg(F.sum("size").alias("source_size"))
-    goal = cut(targets(sizes, weights, share, most).withColumn("sid", sid), "mix-targets")
+    goal = cut(targets(sizes, weights, share, most).withColumn("sid", source_id(F.col("source"))), "mix-targets")
     # What a source takes beyond its whole size, or all that it takes if that is less.
     goal = goal.withColumn("whole", F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("long"))
     goal = goal.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     bound = thresholds(rows.filter("size > 0"), goal.select("sid", "budget"))
-    goal = cut(goal.join(bound, "sid", "left"), "mix-bounds")  # a row a source: Spark broadcasts it if the file is small
+    return cut(goal.join(bound, "sid", "left"), "mix-bounds")  # small: Spark broadcasts it if its file is
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(doc_id, size, source_size, target, times, taken), a row for each document.
+
+    Null text has size 0, a null source is a source of its own, ranked last.  Repeated rows (equal
+    id and text) share a hash and are taken together or not at all.  An empty table gives no rows;
+    columns other than doc_id, text and source are ignored.
+    """
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("h"))
+    rows = cut(rows.withColumn("sid", source_id(F.col("source"))), "mix-sizes")
+    goal = bounds(rows, weights, share, most).drop("source")
     times = F.col("whole") + F.when(F.col("h") < F.col("bound"), 1).otherwise(0)
-    return (
-        rows.drop("source")
-        .join(goal, "sid")
-        .withColumn("times", F.least(times, F.lit(int(most))).cast("long"))
-        .select("doc_id", "h", "source", "size", F.col("source_size"), "target", "times", (F.col("size") * F.col("times")).alias("taken"))
-    )
+    out = rows.join(goal, "sid").withColumn("times", F.least(times, F.lit(int(most))).cast("long"))
+    return out.select("doc_id", "h", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def repeat_documents(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The documents as often as ``mix`` takes them, with all their columns.
+
+    A document without words has size 0 and goes like the others of its hash: its source's whole
+    rounds, and once more below the threshold.  No join by id is made; a row's hash decides.
+    """
+    size, h = word_count(F.col("text")), row_hash(F.col("doc_id"), F.col("text"))
+    plan = bounds(docs.select("doc_id", "source", size.alias("size"), h.alias("h")), weights, share, most)
+    plan = plan.select(F.col("sid").alias("_sid"), F.col("whole").alias("_whole"), F.col("bound").alias("_bound"))
+    rows = docs.withColumn("_h", h).withColumn("_s", source_id(F.col("source")))
+    rows = rows.join(plan, rows["_s"] == plan["_sid"], "left")
+    times = F.least(F.coalesce("_whole", F.lit(0)) + F.when(F.col("_h") < F.col("_bound"), 1).otherwise(0), F.lit(int(most))).cast("int")
+    return rows.withColumn("_n", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)

@@ -12,7 +12,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _ranks(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[bytes, str]:
+def ranks(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[bytes, str]:
     """The rank file of a public vocabulary and its splitting pattern."""
     import public_tokenizers
 
@@ -30,7 +30,7 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.round_trip(_documents(spark, sf_dir).select("doc_id", "text"), *_ranks()))
+    return bpe.digests(bpe.round_trip(_documents(spark, sf_dir).select("doc_id", "text"), *ranks()))
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

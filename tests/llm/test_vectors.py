@@ -1,0 +1,228 @@
+"""Plain models of the vectorised parts."""
+
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+from hypothesis import given, settings, strategies as st
+
+from hunkwise.llm import gif, licences, lines, minhash, passages, secrets, sharding, textvec as tv
+
+TEXTS = st.lists(st.text(alphabet="ab c\n\t.é中😀#9", max_size=60), max_size=6)
+
+
+@settings(max_examples=60, deadline=None)
+@given(TEXTS)
+def test_words_of_a_chunk(texts):
+    buf, at = tv.buffers(pa.array(texts, pa.string()))
+    w = tv.Words(buf, at)
+    words = [t.encode().split() for t in texts]
+    assert w.count.tolist() == [len(x) for x in words]
+    data = buf.tobytes()
+    assert [data[s:e] for s, e in zip(w.start, w.end)] == [x for ws in words for x in ws]
+    by_hash = {}
+    for h, x in zip(w.h.tolist(), (x for ws in words for x in ws)):
+        assert by_hash.setdefault(h, x) == x
+    first, h = tv.shingles(w)
+    assert np.diff(first).tolist() == [max(len(x) - 4, min(1, len(x))) for x in words]
+
+
+def test_chunks_cover_all_rows():
+    arr = pa.array(["a" * k for k in range(50)] + [None, "", "b" * 3000])
+    seen = [(i, j) for i, j, _, _ in tv.chunks(arr, 100)]
+    assert [i for i, _ in seen] == [0] + [j for _, j in seen[:-1]] and seen[-1][1] == len(arr)
+    assert list(tv.chunks(pa.array([], pa.string()))) == []
+    assert tv.buffers(arr.slice(50, 3))[1].tolist() == [0, 0, 0, 3000]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 3000), st.integers(0, 99))
+def test_feistel_is_a_permutation(n, seed):
+    p = sharding.permute(np.arange(n), n, seed)
+    assert sorted(p.tolist()) == list(range(n))
+    assert sharding.permute(p, n, seed, back=True).tolist() == list(range(n))
+
+
+def test_viterbi_against_plain():
+    rng = np.random.default_rng(0)
+    trans, begin = rng.normal(size=(3, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32)
+    for _ in range(20):
+        n = int(rng.integers(1, 300))
+        emit = rng.normal(size=(n, 3)).astype(np.float32)
+        first = np.concatenate([[0], np.sort(rng.integers(0, n + 1, 4)), [n]])
+        want = []
+        for a, z in zip(first[:-1], first[1:]):
+            if a == z:
+                continue
+            v, back = begin + emit[a], []
+            for k in range(a + 1, z):
+                m = v[:, None] + trans
+                back.append(m.argmax(0))
+                v = m.max(0) + emit[k]
+            path = [int(v.argmax())]
+            for b in back[::-1]:
+                path.append(int(b[path[-1]]))
+            want += path[::-1]
+        assert secrets.viterbi(emit, first, trans, begin).tolist() == want
+
+
+def test_field_on_held_out_lines():
+    w, trans, begin = secrets.fit()
+    made = secrets._examples(300, 4321)
+    buf, at = tv.buffers(pa.array([t for t, _ in made], pa.binary()))
+    t = secrets.Tokens(buf, at)
+    want = secrets._labels(t, [s for _, s in made]) > 0
+    got = secrets.viterbi(secrets.potentials(t, w), t.first, trans, begin) > 0
+    both = (want & got).sum()
+    assert both / got.sum() > 0.97 and both / want.sum() > 0.97
+
+
+def test_edit_distance():
+    r = random.Random(1)
+    for _ in range(400):
+        a = "".join(r.choice("abcé") for _ in range(r.randint(0, 40)))
+        b = a[:10] + "x" + a[12:] if r.random() < 0.5 else "".join(r.choice("abcé") for _ in range(r.randint(0, 40)))
+        p = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            q = [i]
+            for j, y in enumerate(b, 1):
+                q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
+            p = q
+        assert lines.edit_distance(a, b) == p[-1]
+
+
+def test_simhash_against_plain():
+    h = tv.mix(np.arange(1, 40, dtype=np.uint64))
+    heads = np.array([0, 1, 7, 20])
+    for k, (s, e) in enumerate(zip(heads, [1, 7, 20, 39])):
+        want = 0
+        for bit in range(64):
+            ones = sum(int(x) >> bit & 1 for x in h[s:e])
+            want |= int(2 * ones > e - s) << bit
+        assert int(lines.simhash(h, heads)[k]) == want
+
+
+def test_blocks_cover_the_hash():
+    assert [b[0] for b in lines.BLOCKS] == [sum(w for _, w in lines.BLOCKS[:k]) for k in range(5)]
+    assert sum(w for _, w in lines.BLOCKS) == 64
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 25), max_size=80), st.lists(st.integers(0, 80), max_size=3), st.integers(2, 9))
+def test_compact_windows(tokens, cuts, width):
+    h = np.array(tokens, np.uint64)
+    first = np.array([0, *sorted(min(c, len(h)) for c in cuts), len(h)])
+    v = [int(x) for x in tv.mix(h ^ np.uint64(5)) | np.uint64(1 << 63)]
+    want = set()
+    for s, e in zip(first[:-1].tolist(), first[1:].tolist()):
+        for i in range(s, e):
+            lo = hi = i
+            while lo > s and v[lo - 1] > v[i]:
+                lo -= 1
+            while hi < e - 1 and v[hi + 1] >= v[i]:
+                hi += 1
+            if hi - lo + 1 >= width:
+                want.add((i, lo, hi))
+    c, lo, hi = passages.windows(h, first, width, 5)
+    assert set(zip(c.tolist(), lo.tolist(), hi.tolist())) == want
+
+
+def test_passage_match():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 1 << 60, 100, dtype=np.uint64)
+    y = rng.integers(0, 1 << 60, 300, dtype=np.uint64)
+    y[40:110] = x[20:90]
+    assert passages.match(x, y, 46, 0.8) == [(20, 89, 40, 109, 1.0)]
+    y[70:75] = 1  # one word changed
+    ((a0, a1, b0, b1, sim),) = passages.match(x, y, 46, 0.8)
+    assert (a0, a1, b0, b1) == (20, 89, 40, 109) and 0.8 <= sim < 1
+    assert passages.match(x[:40], y, 46, 0.8) == []
+
+
+def test_samples_agree_as_often_as_texts_are_alike():
+    rng = np.random.default_rng(3)
+    h = np.sort(rng.integers(0, 1 << 62, 300, dtype=np.uint64))
+    w = rng.uniform(0.5, 5, 300).astype(np.float32)
+    a, b = np.arange(300) < 250, np.arange(300) >= 40
+    doc = np.concatenate([np.zeros(a.sum(), int), np.ones(b.sum(), int)])
+    s = minhash.samples(doc, np.concatenate([h[a], h[b]]), np.concatenate([w[a], w[b]]), 3, 2000)
+    want = w[a & b].sum() / w.sum()
+    assert abs((s[0] == s[1]).mean() - want) < 0.04 and not s[2].any()
+
+
+def test_gif_round_trips():
+    rng = np.random.default_rng(4)
+    for data in (b"", b"a" * 90_000, bytes(range(256)) * 40, rng.integers(0, 256, 70_000, dtype=np.uint8).tobytes(), "é中".encode() * 99):
+        payload, g = gif.load(gif.store(gif.padded(data)))
+        assert payload == gif.padded(data) and len(g.frames) == -(-len(payload) // (gif.ROW * gif.ROWS))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.binary(max_size=400), st.integers(2, 8))
+def test_lzw(data, least):
+    data = bytes(b & ((1 << least) - 1) for b in data)
+    assert gif.lzw_decode(gif.lzw_encode(data, least), least, len(data)) == data
+
+
+def test_deferred_clear():
+    # A stream that never clears: codes stay 12 bits wide after the dictionary is full.
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 4, 60_000, dtype=np.uint8).tobytes()
+    table, codes, cur, new = {}, [4], data[0], 6
+    for b in data[1:]:
+        if (n := table.get((cur, b))) is not None:
+            cur = n
+            continue
+        codes.append(cur)
+        if new < 4096:
+            table[cur, b] = new
+            new += 1
+        cur = b
+    codes += [cur, 5]
+    bits, width = [], [3] + gif._widths(2, len(codes) - 1)[0].tolist()
+    for c, w in zip(codes, width):
+        bits += [c >> k & 1 for k in range(w)]
+    stream = np.packbits(np.array(bits, np.uint8), bitorder="little").tobytes()
+    assert gif.lzw_decode(stream, 2, len(data)) == data
+
+
+def test_gif_frames_disposal_transparency_interlace():
+    red, green, clear = 1, 2, 3
+    colours = np.array([[0, 0, 0], [255, 0, 0], [0, 255, 0], [9, 9, 9]], np.uint8)
+    full = np.full((4, 4), red)
+    patch = np.array([[green, clear], [clear, green]])
+    frames = [gif.Frame(full, delay_ms=50, disposal=1), gif.Frame(patch, 1, 1, 70, 3, clear), gif.Frame(patch, 0, 0, 30, 2, clear), gif.Frame(patch, 2, 2, 10, 0, clear)]
+    g = gif.read(gif.write(gif.Gif(4, 4, colours, loops=0, frames=frames)))
+    assert [f.delay_ms for f in g.frames] == [50, 70, 30, 10] and g.loops == 0
+    a, b, c, d = gif.composite(g)
+    assert (a[:, :, 0] == 255).all()
+    assert b[1, 1].tolist() == [0, 255, 0, 255] and b[1, 2].tolist() == [255, 0, 0, 255]
+    assert c[1, 1].tolist() == [0, 255, 0, 255] and c[0, 1].tolist() == [255, 0, 0, 255] and c[2, 2].tolist() == [255, 0, 0, 255]
+    assert d[0, 0].tolist() == [0, 0, 0, 0] and d[3, 3].tolist() == [0, 255, 0, 255]
+    assert gif.histogram(d).sum() == 12
+    rows = np.arange(10)[:, None] % 4
+    order = [0, 8, 4, 2, 6, 1, 3, 5, 7, 9]
+    data = bytearray(gif.write(gif.Gif(1, 10, colours, frames=[gif.Frame(rows[order])])))
+    place = data.index(b"\x2c", 13 + 12) + 9
+    data[place] |= 0x40
+    assert (gif.read(bytes(data)).frames[0].pixels == rows).all()
+
+
+def test_damaged_gif():
+    data = gif.store(gif.padded(b"abc" * 500))
+    for n in (6, 13, 200, 800, 900, 1000, len(data) - 5):
+        try:
+            gif.read(data[:n])
+        except ValueError:
+            assert n < 13
+    try:
+        gif.read(b"PNG")
+        raise AssertionError
+    except ValueError:
+        pass
+
+
+def test_templates_are_normalised_apart():
+    seen = [" ".join(re.findall(r"[a-z0-9]+", t.lower())) for _, t in licences.TEMPLATES]
+    assert len(set(seen)) == len(seen)
