@@ -5,8 +5,9 @@ every run of other characters than letters and digits one space) and its bag of
 compared to each template's.  Dice is 2 * common / (unit's + template's), so a template of t bigrams
 can reach the threshold d only with units of t*d/(2-d) to t*(2-d)/d bigrams: a unit outside every
 template's bounds is dropped before its bigrams are made, and a (unit, template) pair outside the
-template's bounds is dropped in the join.  The join itself is on bigrams, an inverted index of the
-templates, so a unit meets only templates with which it shares one.
+template's bounds is dropped in the join.  Within its bounds a unit of n bigrams needs n*d/(2-d) of
+them in common, so its first n - n*d/(2-d) + 1 must hold one that some template has; a unit without
+one is dropped too.  The join itself is on bigrams, an inverted index of the templates.
 
 Only DataFrame functions are used.  The templates are a fixed list; their table's size does not
 depend on the input.
@@ -14,6 +15,8 @@ depend on the input.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Short notices by which works declare a public licence, with its SPDX name.
@@ -46,9 +49,8 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def bigrams(norm: Column) -> Column:
-    """The word bigrams of a normalised unit in order, as "a b"; under two words, none."""
-    w = F.split(norm, " ")
+def bigrams(w: Column) -> Column:
+    """The bigrams of a unit's words in order, as "a b"; under two words, none."""
     return F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x))
 
 
@@ -56,7 +58,7 @@ def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """(template, licence, n_template, bigram, n_bigram), a row for each different bigram of each template."""
     rows = [(k, name, text) for k, (name, text) in enumerate(templates)]
     t = spark.createDataFrame(rows, "template int, licence string, body string")
-    t = t.withColumn("bag", bigrams(normalised(F.col("body"))))
+    t = t.withColumn("bag", bigrams(F.split(normalised(F.col("body")), " ")))
     t = t.select("template", "licence", F.size("bag").alias("n_template"), F.explode("bag").alias("bigram"))
     return t.groupBy("template", "licence", "n_template", "bigram").agg(F.count("*").alias("n_bigram"))
 
@@ -87,18 +89,27 @@ def licence_matches(docs: DataFrame, templates=TEMPLATES, dice: float = DICE) ->
     as they stand in both.  Other columns than doc_id and text are ignored.
     """
     t = template_table(docs.sparkSession, templates)
-    lines = F.split("text", "\n")
-    whole = F.array(F.struct(F.lit(-1).alias("unit"), F.col("text").alias("body")))
-    each = F.transform(lines, lambda x, i: F.struct(i.alias("unit"), x.alias("body")))
-    units = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    units = units.select("row", "doc_id", F.explode(F.when(F.size(lines) > 1, F.concat(whole, each)).otherwise(whole)).alias("u"))
-    units = units.select("row", "doc_id", "u.unit", normalised(F.col("u.body")).alias("norm"))
-    n_words = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    near = F.lit(False)
-    for lo, hi in _any_bounds(docs.sparkSession, templates, dice):
-        near = near | F.col("n_unit").between(lo, hi)
-    units = units.withColumn("n_unit", n_words - 1).filter(near)
-    hits = units.select("row", "doc_id", "unit", "n_unit", F.explode(bigrams(F.col("norm"))).alias("bigram")).join(F.broadcast(t), "bigram")
+    known = [r[0] for r in t.select("bigram").distinct().collect()]  # of the templates' size
+    spans = _any_bounds(docs.sparkSession, templates, dice)
+    most = int(max(hi for _, hi in spans))
+    near = lambda n: functools.reduce(Column.__or__, [n.between(lo, hi) for lo, hi in spans], F.lit(False))
+
+    def candidate(w: Column) -> Column:
+        # A match has at least n*d/(2-d) of the unit's n bigrams, so any n - that + 1 of them include one.
+        n = F.size(w) - 1
+        head = (n - F.ceil(n * dice / (2 - dice) - 1e-9) + 2).cast("int")
+        return near(n) & F.exists(bigrams(F.slice(w, 1, head)), lambda x: x.isin(known))
+
+    # Lines are normalised once; the whole text is split only as far as the largest bound.
+    norm = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " ")
+    units = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", norm.alias("norm"))
+    words = F.split(F.btrim("norm", F.lit(" \n")), "[ \n]+", most + 2)
+    lines = F.split("norm", "\n")
+    whole = F.array(F.struct(F.lit(-1).alias("unit"), words.alias("w")))
+    each = F.when(F.size(lines) > 1, F.transform(lines, lambda x, i: F.struct(i.alias("unit"), F.split(F.trim(x), " ").alias("w")))).otherwise(F.slice(whole, 1, 0))
+    found = F.filter(F.concat(whole, each), lambda u: candidate(u["w"]))
+    units = units.select("row", "doc_id", F.explode(found).alias("u")).select("row", "doc_id", "u.*").withColumn("n_unit", F.size("w") - 1)
+    hits = units.select("row", "doc_id", "unit", "n_unit", F.explode(bigrams(F.col("w"))).alias("bigram")).join(F.broadcast(t), "bigram")
     hits = hits.filter(F.col("n_unit").between(*bounds(F.col("n_template"), dice)))
     keys = ["row", "doc_id", "unit", "n_unit", "template", "licence", "n_template"]
     each = hits.groupBy(*keys, "bigram", "n_bigram").agg(F.count("*").alias("n")).groupBy(*keys)
