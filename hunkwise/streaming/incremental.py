@@ -18,8 +18,8 @@ from hunkwise.sources import text
 
 def arriving_lines(spark: SparkSession, path: str, files_a_batch: int = 1000) -> DataFrame:
     """A stream of (path, value): whole files below ``path``, as they come."""
-    read = spark.readStream.option("recursiveFileLookup", "true").option("wholetext", "true").option("maxFilesPerTrigger", files_a_batch)
-    return read.text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    read = spark.readStream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_a_batch)
+    return read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
 
 
 def split_lines(files: DataFrame) -> DataFrame:
