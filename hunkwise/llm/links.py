@@ -1,21 +1,101 @@
-"""Near-duplicate links from buckets, without all pairs of a bucket.
+"""Candidate pairs of near-duplicates from sorted buckets, without all pairs of a bucket.
 
-In each bucket the smallest member leads; every other member is held against its leader only.  Links
-found so far join members into components, and what is already joined needs no further comparison.
-A second round does the same among the members that are not in their leader's component.  What is
-left then is compared outright with the members of other components in its bucket: links between
-texts that share a bucket are all found, while a large group of copies costs one comparison a member.
+Bucket rows are dealt by range of all their sort columns and stream by in that order, so a bucket may
+span tasks and none is ever gathered.  A row is held against the rows shortly before it in its bucket
+and pairs with the nearest and the farthest of them that are close.  The sort columns after the bucket
+bring like rows together, so that in a bucket of any size a row's likes stand right before it.  What a
+partition's border cuts apart is looked at once more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
 
 from hunkwise.operators.components import components
 from hunkwise.session import cut
 
+LAG = 64
+PAIR, EDGE, LONG = 0, 1, 2
+#: Makes of a table's columns a test whether rows i and j are close, on index arrays.
+Closeness = Callable[[pa.Table], Callable[[np.ndarray, np.ndarray], np.ndarray]]
+
+
+def near_rows(bucket: np.ndarray, close: Callable[[np.ndarray, np.ndarray], np.ndarray], skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): each sorted row i from ``skip`` on with the nearest and the farthest close row j of the LAG rows before it in its bucket."""
+    n = len(bucket)
+    start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if n else np.zeros(0, np.int64)
+    place = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
+    near, far = np.full(n, -1), np.full(n, -1)
+    i = np.flatnonzero(place >= 1)
+    i = i[i >= skip]
+    for lag in range(1, LAG + 1):
+        i = i[place[i] >= lag]
+        if not len(i):
+            break
+        hit = i[close(i, i - lag)]
+        far[hit] = hit - lag
+        fresh = hit[near[hit] < 0]
+        near[fresh] = fresh - lag
+    one, two = np.flatnonzero(near >= 0), np.flatnonzero((far >= 0) & (far != near))
+    return np.concatenate([one, two]), np.concatenate([near[one], far[two]])
+
+
+def _scan(closeness: Closeness, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of sorted rows: close pairs (kind 0: a, b), the rows at the partition's borders (1), long buckets (2: bucket)."""
+
+    def rows(kind: int, table: pa.Table, a=None, b=None) -> Iterator[pa.RecordBatch]:
+        n = len(a) if a is not None else table.num_rows
+        ends = [pa.array(x) if x is not None else pa.nulls(n, pa.int64()) for x in (a, b)]
+        own = [table.column(c) if table is not None else pa.nulls(n, t) for c, t in zip(names, types)]
+        yield from pa.table([pa.array(np.full(n, kind, np.int32)), *ends, *own], ["kind", "a", "b", *names]).combine_chunks().to_batches()
+
+    types: list = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail, begun = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if not types:
+                types.extend(batch.schema.types)
+            part = pa.Table.from_batches([batch])
+            skip = tail.num_rows if tail is not None else 0
+            whole = pa.concat_tables([tail, part]).combine_chunks() if skip else part.combine_chunks()
+            bucket = whole.column("bucket").to_numpy()
+            i, j = near_rows(bucket, closeness(whole), skip)
+            if len(i):
+                node = whole.column("node").to_numpy()
+                yield from rows(PAIR, None, np.minimum(node[i], node[j]), np.maximum(node[i], node[j]))
+            if not begun:
+                begun = True
+                yield from rows(EDGE, whole.slice(0, int(np.searchsorted(bucket[:LAG], bucket[0], "right"))))
+            far = np.unique(bucket[LAG:][bucket[LAG:] == bucket[:-LAG]])
+            if len(far):
+                at = np.searchsorted(bucket, far)
+                yield from rows(LONG, whole.take(pa.array(at)))
+            tail = whole.slice(max(int(np.searchsorted(bucket, bucket[-1])), whole.num_rows - LAG))
+        if tail is not None:
+            yield from rows(EDGE, tail)
+
+    return run
+
+
+def close_pairs(rows: DataFrame, closeness: Closeness) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b), long buckets (bucket)) of rows (bucket, ..., node), sorted by all their columns that can be."""
+    names = rows.columns
+    order = [f.name for f in rows.schema.fields if not isinstance(f.dataType, T.BinaryType)]
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), *[T.StructField(f.name, f.dataType) for f in rows.schema.fields]])
+    run = _scan(closeness, names)
+    found = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema), "close")
+    edge = found.filter(F.col("kind") == EDGE).select(*names).distinct().repartition("bucket").sortWithinPartitions(*order).mapInArrow(run, schema)
+    is_pair = F.col("kind") == PAIR
+    return found.filter(is_pair).select("a", "b").unionByName(edge.filter(is_pair).select("a", "b")), found.filter(F.col("kind") == LONG).select("bucket").distinct()
+
 
 def shared(buckets: DataFrame) -> DataFrame:
     """The rows (bucket, node) of buckets with several nodes; rows must be distinct."""

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -141,3 +142,61 @@ def code_points(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(LEAD[buf], out=out[1:])
     return out
+
+
+def block_sums(parts: DataFrame, merge=np.add, dtype=np.int64) -> dict[int, np.ndarray]:
+    """Arrays that tasks made in blocks (block, data), merged by block as they stream by and then on the driver.
+
+    For sketches of fixed size only: what arrives at the driver is as large as the sketch.
+    """
+    numpy_type = np.dtype(dtype).str
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = np.frombuffer(data, numpy_type)
+                sums[k] = merge(sums[k], x) if k in sums else x
+        if sums:
+            yield block_rows(list(sums), list(sums.values()))
+
+    out: dict[int, np.ndarray] = {}
+    for r in parts.repartition("block").mapInArrow(summed, BLOCK_SCHEMA).collect():
+        x = np.frombuffer(r["data"], numpy_type)
+        out[r["block"]] = merge(out[r["block"]], x) if r["block"] in out else x
+    return out
+
+
+BLOCK_SCHEMA = "block long, data binary"
+
+
+def block_rows(keys, arrays) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(keys, np.int64)), pa.array([np.ascontiguousarray(x).tobytes() for x in arrays], pa.binary())], ["block", "data"])
+
+
+MAP_BLOCK = 1 << 13
+
+
+def bit_map(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit map of ``bits`` bits of a column of 64-bit hashes."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            h = b.column(0).to_numpy(zero_copy_only=False).view(U) % U(bits)
+            np.bitwise_or.at(own, (h >> U(3)).astype(np.int64), (1 << (h & U(7)).astype(np.uint8)).astype(np.uint8))
+        own = own.reshape(-1, MAP_BLOCK)
+        full = np.flatnonzero(own.any(1))
+        if len(full):
+            yield block_rows(full, own[full])
+
+    out = np.zeros((bits // 8 // MAP_BLOCK, MAP_BLOCK), np.uint8)
+    for k, x in block_sums(df.select(column).mapInArrow(partial, BLOCK_SCHEMA), np.bitwise_or, np.uint8).items():
+        out[k] = x
+    return out.reshape(-1)
+
+
+def in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether hashes (int64) may be among those of the map; those that are, are."""
+    h = hashes.view(U) % U(len(bits) * 8)
+    return (bits[(h >> U(3)).astype(np.int64)] >> (h & U(7)).astype(np.uint8)) & 1 > 0
