@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hunkwise.session import cut
+from hunkwise.session import cut, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 BITS = (12, 12, 12, 24)
@@ -133,8 +133,8 @@ def repeat_documents(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
     """
     size, h = word_count(F.col("text")), row_hash(F.col("doc_id"), F.col("text"))
     plan = bounds(docs.select("doc_id", "source", size.alias("size"), h.alias("h")), weights, share, most)
-    plan = plan.select(F.col("sid").alias("_sid"), F.col("whole").alias("_whole"), F.col("bound").alias("_bound"))
-    rows = docs.withColumn("_h", h).withColumn("_s", source_id(F.col("source")))
-    rows = rows.join(plan, rows["_s"] == plan["_sid"], "left")
-    times = F.least(F.coalesce("_whole", F.lit(0)) + F.when(F.col("_h") < F.col("_bound"), 1).otherwise(0), F.lit(int(most))).cast("int")
-    return rows.withColumn("_n", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    hash_, own, sid, whole, bound, n = fresh(docs, "_hash", "_own", "_sid", "_whole", "_bound", "_n")
+    plan = plan.select(F.col("sid").alias(sid), F.col("whole").alias(whole), F.col("bound").alias(bound))
+    rows = docs.withColumns({hash_: h, own: source_id(F.col("source"))}).join(plan, F.col(own) == F.col(sid), "left")
+    times = F.least(F.coalesce(whole, F.lit(0)) + F.when(F.col(hash_) < F.col(bound), 1).otherwise(0), F.lit(int(most))).cast("int")
+    return rows.withColumn(n, F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hunkwise.llm import textvec as tv
+from hunkwise.session import fresh
 
 # Common words by language.
 COMMON = {
@@ -197,11 +198,11 @@ def verdict(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float =
 
 def score(docs: DataFrame, **limits) -> DataFrame:
     """doc_id and the columns of ``verdict``, a row for each document."""
-    v = docs.select("doc_id", "text", "lang").withColumn("v", verdict(docs, **limits))
-    return v.select("doc_id", "v.*")
+    docs = docs.select("doc_id", "text", "lang")
+    return docs.withColumn("v", verdict(docs, **limits)).select("doc_id", "v.*")
 
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    v = docs.withColumn("_verdict", verdict(docs, **limits))
-    return v.filter("_verdict.kept").drop("_verdict")
+    (v,) = fresh(docs, "_verdict")
+    return docs.withColumn(v, verdict(docs, **limits)).filter(F.col(v)["kept"]).select(*docs.columns)
