@@ -5,7 +5,8 @@ words with all other words in one further bin.  A language's reference is the su
 documents of that language in the table (the languages below; every other value, null included, is
 pooled as one more).  A text is rejected where the square root of the Jensen-Shannon divergence (in
 bits, so 0 to 1) to its language's reference exceeds a limit for either histogram.  Short texts have
-noisy histograms, so below a minimum length the distances decide nothing.
+noisy histograms: the limit for words falls with the square root of their number, as the distance of a
+sample to its own source does, and below a minimum length the distances decide nothing.
 
 The references are a few hundred sums whatever the input, gathered by one aggregation.
 """
@@ -29,8 +30,8 @@ COMMON = {
 LANGS = [*COMMON, ""]
 WORDS = sorted({w for ws in COMMON.values() for w in ws})
 CLASSES = 10
-#: Limits of the two distances, and the words below which they decide nothing.
-CHAR_LIMIT, WORD_LIMIT, MIN_WORDS = 0.30, 0.45, 60
+#: The limit for characters, that for words (a constant and a part over the root of their number), and the least words.
+CHAR_LIMIT, WORD_LIMIT, MIN_WORDS = 0.30, (0.19, 2.2), 60
 
 
 def _class_table() -> np.ndarray:
@@ -167,7 +168,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SCHEMA = ", ".join(f"{c}: long" for c in COUNTS) + ", base_failed: boolean, char_distance: double, word_distance: double, kept: boolean"
 
 
-def verdict(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, min_words: int = MIN_WORDS) -> Column:
+def verdict(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: tuple[float, float] = WORD_LIMIT, min_words: int = MIN_WORDS) -> Column:
     """A struct column over docs' text and lang: the counts, both distances, base_failed and kept.
 
     Null and empty texts have no words and fail the base rule.  The references come from ``docs``;
@@ -186,7 +187,8 @@ def verdict(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float =
             s["base_failed"] = (s["n_words"] < 20) | (100 * s["n_repeat_words"] > 30 * s["n_words"])
             s["char_distance"] = js_distance(chars, ref_chars[lg])
             s["word_distance"] = js_distance(words, ref_words[lg])
-            odd = (s["char_distance"] > char_limit) | (s["word_distance"] > word_limit)
+            most = word_limit[0] + word_limit[1] / np.sqrt(np.maximum(s["n_words"], 1))
+            odd = (s["char_distance"] > char_limit) | (s["word_distance"] > most)
             s["kept"] = ~s["base_failed"] & ~(odd & (s["n_words"] >= min_words))
             parts.append(s)
         names = [c.split(":")[0] for c in SCHEMA.split(", ")]
