@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from hunkwise.operators.components import components
 from hunkwise.session import cut
 
 LAG = 64
@@ -95,52 +94,3 @@ def close_pairs(rows: DataFrame, closeness: Closeness) -> tuple[DataFrame, DataF
     edge = found.filter(F.col("kind") == EDGE).select(*names).distinct().repartition("bucket").sortWithinPartitions(*order).mapInArrow(run, schema)
     is_pair = F.col("kind") == PAIR
     return found.filter(is_pair).select("a", "b").unionByName(edge.filter(is_pair).select("a", "b")), found.filter(F.col("kind") == LONG).select("bucket").distinct()
-
-
-def shared(buckets: DataFrame) -> DataFrame:
-    """The rows (bucket, node) of buckets with several nodes; rows must be distinct."""
-    many = buckets.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1").select("bucket")
-    return buckets.join(many, "bucket")
-
-
-def _led(rows: DataFrame) -> DataFrame:
-    """(bucket, a, b): every member b but the leader a itself."""
-    lead = rows.groupBy("bucket").agg(F.min("node").alias("a"))
-    return rows.join(lead, "bucket").filter("node <> a").select("bucket", "a", F.col("node").alias("b"))
-
-
-def linked(rows: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(links (a, b), components (vertex, component)) of the rows (bucket, node).
-
-    ``verify`` takes distinct pairs (a, b) and returns those that are links.
-    """
-    tried = cut(_led(rows).select("a", "b").distinct(), "pairs")
-    links = cut(verify(tried), "links")
-    joined = components(links, "a", "b")
-    for last in (False, True):
-        at = cut(rows.join(joined.withColumnRenamed("vertex", "node"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c")), "placed")
-        lead = at.groupBy("bucket").agg(F.min("node").alias("a"), F.min(F.struct("node", "c"))["c"].alias("lc"))
-        rest = at.join(lead, "bucket").filter("c <> lc").select("bucket", "node", "c")
-        if last:
-            # what no leader has taken in, against all members of other components
-            rest = cut(rest, "rest")
-            if rest.isEmpty():
-                break
-            second = rest.groupBy("bucket").agg(F.min(F.struct("node", "c"))["c"].alias("lc2"))
-            rest = rest.join(second, "bucket").filter("c <> lc2").select("bucket", F.col("node").alias("x"), F.col("c").alias("cx"))
-            pairs = at.join(rest, "bucket").filter("c <> cx").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
-            # The two leaders' components also meet each other's members.
-            across = at.join(lead, "bucket").join(second, "bucket").filter("c = lc2 and lc <> lc2").select("bucket", F.col("node").alias("x"), "lc")
-            across = at.join(across, "bucket").filter("c = lc").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
-            pairs = pairs.unionByName(across).distinct()
-        else:
-            pairs = _led(rest).select("a", "b").distinct()
-        new = cut(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            continue
-        tried = tried.unionByName(new)
-        more = cut(verify(new), "links")
-        links = links.unionByName(more)
-        if not more.isEmpty():
-            joined = components(links, "a", "b")
-    return links, joined
