@@ -451,3 +451,141 @@ UNION ALL SELECT 'name defined twice in a module', 's' || s_suppkey % 40 FROM su
 def fact_faults(spark, sf_dir):
     n = standin.nodes(spark, sf_dir).filter("variant = 'A'")
     return facts.faults(n.withColumn("file", F.col("file").cast("string")), standin.externals(spark, sf_dir)).select("rule", "subject")
+
+
+_TYPES = """
+types AS (
+  SELECT p_partkey AS id, ['basic', 'subroutine', 'composite', 'derived', 'derived', 'derived', 'derived'][p_partkey % 7 + 1] AS kind,
+    CASE WHEN p_partkey % 7 >= 3 THEN ['typedef', 'pointer', 'pointer', 'const', 'volatile'][p_partkey % 5 + 1] WHEN p_partkey % 7 = 2 AND p_partkey % 4 = 0 THEN 'array' ELSE 'other' END AS tag,
+    CASE WHEN p_partkey % 7 = 2 AND p_partkey % 6 = 1 THEN '_Z' || p_partkey END AS identifier,
+    CASE WHEN p_partkey % 7 = 0 THEN 'b' || p_partkey WHEN p_partkey % 7 = 2 AND p_partkey % 3 <> 0 THEN 'C' || p_partkey WHEN p_partkey % 7 >= 3 AND p_partkey % 5 = 0 THEN 'T' || p_partkey END AS name,
+    CASE WHEN (p_partkey % 7 >= 3 OR (p_partkey % 7 = 2 AND p_partkey % 4 = 0)) AND p_partkey % 11 <> 0 AND p_partkey > 1 THEN p_partkey // 2 END AS base,
+    p_partkey % 13 <> 0 AS inside, p_partkey % 17 = 0 AS is_decl
+  FROM part
+), members AS (
+  SELECT p_partkey AS id, 0 AS seq, CASE WHEN p_partkey % 10 <> 0 THEN p_partkey // 3 END AS member FROM part WHERE p_partkey > 3 AND p_partkey % 7 IN (1, 2)
+  UNION ALL SELECT p_partkey, 1, p_partkey // 3 + 1 FROM part WHERE p_partkey > 3 AND p_partkey % 7 IN (1, 2)
+), resolved AS (
+  SELECT id, id AS base FROM types WHERE kind = 'subroutine' OR (kind = 'composite' AND inside AND NOT is_decl) OR (kind = 'derived' AND inside AND tag = 'typedef')
+  UNION ALL SELECT t.id, r.base FROM types t JOIN resolved r ON r.id = t.base WHERE t.kind = 'derived' AND t.inside AND t.tag <> 'typedef'
+), opened AS (
+  SELECT id FROM types WHERE kind = 'subroutine' OR (kind = 'composite' AND name IS NULL AND identifier IS NULL)
+), flat AS (
+  SELECT id, base FROM resolved
+  UNION SELECT f.id, r.base FROM flat f JOIN opened o ON o.id = f.base JOIN members m ON m.id = f.base JOIN resolved r ON r.id = m.member
+), leaves AS (SELECT id, base AS leaf FROM flat WHERE base NOT IN (SELECT id FROM opened))"""
+
+
+@query(f"WITH RECURSIVE {_TYPES} SELECT id AS type_id, base FROM resolved")
+def base_types(spark, sf_dir):
+    return facts.resolve_types(standin.types(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_TYPES} SELECT id AS type_id, leaf FROM leaves")
+def flat_types(spark, sf_dir):
+    return facts.flatten_types(standin.types(spark, sf_dir), standin.members(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_TYPES}
+SELECT DISTINCT o_orderkey AS src_key, 't' || leaf AS dst_key, 'func_type_proto' AS dep_kind FROM orders JOIN leaves ON id = o_orderkey % (SELECT count(*) FROM part)""")
+def type_dependencies(spark, sf_dir):
+    kinds = standin.types(spark, sf_dir)
+    n = kinds.count()
+    uses = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lit(standin.PAIR).alias("pair_id"), F.lit("A").alias("variant"), F.col("o_orderkey").alias("src_key"), (F.col("o_orderkey") % n).alias("type_id"))
+    keys = kinds.select("type_id", F.concat(F.lit("t"), F.col("type_id").cast("string")).alias("node_key"))
+    return facts.type_edges(uses, facts.flatten_types(kinds, standin.members(spark, sf_dir)), keys, "func_type_proto").select("src_key", "dst_key", "dep_kind")
+
+
+@query(f"""WITH RECURSIVE {_TYPES},
+named AS (SELECT *, CASE WHEN kind <> 'subroutine' THEN coalesce(CASE WHEN kind = 'composite' THEN identifier END, name) END AS label,
+  CASE tag WHEN 'pointer' THEN '*' WHEN 'const' THEN 'const' WHEN 'volatile' THEN 'volatile' WHEN 'array' THEN '...' END AS lead FROM types),
+kids AS (SELECT id, 0 AS seq, base AS kid FROM named WHERE label IS NULL AND kind <> 'subroutine' AND lead IS NOT NULL AND base IS NOT NULL
+  UNION ALL SELECT m.id, m.seq, m.member FROM members m JOIN named n USING (id) WHERE n.kind = 'subroutine' AND m.member IS NOT NULL),
+tree AS (SELECT id AS root, '' AS path, id FROM named UNION ALL SELECT root, path || '1' || seq, kid FROM tree JOIN kids USING (id)),
+parts AS (
+  SELECT root, path || '0' AS path, CASE WHEN label IS NOT NULL THEN '[' || label || ']' WHEN kind = 'subroutine' THEN '{{' WHEN lead IS NULL OR (base IS NULL AND lead = '...') THEN NULL WHEN base IS NULL THEN '[' || lead || '[void]]' ELSE '[' || lead END AS token
+  FROM tree JOIN named USING (id)
+  UNION ALL SELECT root, path || '2', CASE WHEN kind = 'subroutine' THEN '}}=' || (SELECT count(*) FROM kids k WHERE k.id = tree.id) ELSE ']' END
+  FROM tree JOIN named USING (id) WHERE label IS NULL AND (kind = 'subroutine' OR (lead IS NOT NULL AND base IS NOT NULL)))
+SELECT root AS type_id, string_agg(token, '' ORDER BY path) AS rep FROM parts GROUP BY root HAVING bool_and(token IS NOT NULL)""")
+def prototype_rep(spark, sf_dir):
+    return names.prototypes(standin.types(spark, sf_dir), standin.members(spark, sf_dir))
+
+
+@query("""SELECT DISTINCT 'key' AS how, CAST(l_orderkey AS VARCHAR) AS src, CAST(l_partkey AS VARCHAR) AS target FROM lineitem
+WHERE l_linenumber <> 5 AND l_suppkey % 9 <> 0 AND l_orderkey <> l_partkey AND l_linenumber % 2 = 0 AND l_orderkey % 3 <> 0 AND l_partkey % 4 <> 0
+UNION ALL SELECT DISTINCT 'name', CAST(l_orderkey AS VARCHAR), 'c' || l_suppkey FROM lineitem
+WHERE l_linenumber <> 5 AND l_suppkey % 9 <> 0 AND l_orderkey <> l_partkey AND NOT (l_linenumber % 2 = 0 AND l_orderkey % 3 <> 0)""")
+def callee_links(spark, sf_dir):
+    inside, by_name = facts.callee_links(standin.calls(spark, sf_dir))
+    one = inside.select(F.lit("key").alias("how"), F.col("src_key").alias("src"), F.col("dst_key").alias("target"))
+    return one.unionByName(by_name.select(F.lit("name").alias("how"), F.col("src_key").alias("src"), F.col("ext_name").alias("target")))
+
+
+@query("""SELECT s_suppkey AS node_key, CASE WHEN s_nationkey % 2 = 0 THEN 'func' ELSE 'gvar' END AS sym_kind FROM supplier
+WHERE s_suppkey % 3 <> 0 AND NOT (s_nationkey % 2 = 0 AND s_suppkey % 5 IN (0, 1))""")
+def export_filter(spark, sf_dir):
+    s = F.col("s_suppkey")
+    name = F.when(s % 5 == 0, "main").when(s % 5 == 1, "LLVMFuzzerTestOneInput").otherwise(F.concat(F.lit("f"), s.cast("string")))
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(s.alias("node_key"), F.when(F.col("s_nationkey") % 2 == 0, "func").otherwise("gvar").alias("sym_kind"), name.alias("ext_name"), F.when(s % 3 != 0, "external").otherwise("internal").alias("linkage"))
+    return facts.exported(rows).select("node_key", "sym_kind")
+
+
+@query("SELECT o_orderkey AS node_key FROM orders WHERE o_orderkey % 3 = 2 OR (o_orderstatus = 'O' AND (o_orderkey % 3 = 0 OR o_orderkey % 5 <> 0))")
+def defined_nodes(spark, sf_dir):
+    o = F.col("o_orderkey")
+    name = F.when(o % 5 != 0, F.concat(F.lit("n"), o.cast("string")))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(o.alias("node_key"), F.element_at(F.array(*map(F.lit, standin.KINDS)), (o % 3 + 1).cast("int")).alias("kind"), name.alias("name"), (F.col("o_orderstatus") == "O").alias("is_defined"))
+    return facts.defined(rows).select("node_key")
+
+
+@query("SELECT 'src/f' || p_partkey || '.c' AS file FROM part WHERE p_partkey % 3 = 0 AND p_size > 10")
+def module_selection(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    file = F.format_string("src/f%d.c", "p_partkey")
+    listing = p.filter("p_size > 10").select(paths.encoded(F.concat(F.lit("/root/va/"), file)).alias("name"))
+    return facts.select_modules(p.filter("p_partkey % 3 = 0").select(file.alias("file")), listing, "/root/va").select("file")
+
+
+@query("""SELECT o_orderkey AS node_key, 'func|' || o_orderkey // 100 || '|' || o_orderkey % 300 || '|' || CASE WHEN o_orderkey % 2 = 0 THEN '_Z' || o_orderkey ELSE 'f' || o_orderkey END AS key,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'func|' || o_orderkey // 100 || '|f' || o_orderkey || '{}=0' ELSE 'func|' || o_orderkey // 100 || '|' || CASE WHEN o_orderkey % 2 = 0 THEN '_Z' || o_orderkey ELSE 'f' || o_orderkey END END AS desc_key,
+  CASE WHEN o_orderkey % 7 = 0 THEN '*' ELSE 'f' || o_orderkey END AS shown FROM orders""")
+def node_keys(spark, sf_dir):
+    o = F.col("o_orderkey")
+    plain = F.concat(F.lit("f"), o.cast("string"))
+    link = names.link_name(F.when(o % 2 == 0, F.concat(F.lit("_Z"), o.cast("string"))).otherwise(""), plain)
+    file = F.expr("o_orderkey div 100").cast("string")
+    proto = F.when(o % 4 == 0, F.concat(plain, F.lit("{}=0")))
+    shown = names.shown_name(F.when(o % 7 != 0, plain).otherwise(""))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return rows.select(o.alias("node_key"), names.node_key(F.lit("func"), file, o % 300, link).alias("key"), names.desc_key(F.lit("func"), file, link, proto).alias("desc_key"), shown.alias("shown"))
+
+
+@query("""SELECT p_partkey AS range_seq, ['func', 'composite', 'composite', 'gvar', 'alias'][p_partkey % 5 + 1] AS rtype, CAST(p_partkey % 40 AS INT) AS start, CAST(p_partkey % 40 + p_size AS INT) AS "end", 'n, ' || p_size AS name
+FROM part WHERE p_partkey % 100 < 40 - p_partkey // 100 * 100 % 40""")
+def range_parse(spark, sf_dir):
+    """Range lines of one file for each hundred parts, read up to where start falls."""
+    p = F.col("p_partkey")
+    code = F.element_at(F.array(*map(F.lit, "fecgt")), (p % 5 + 1).cast("int"))
+    line = F.format_string("%s, %d, %d, n, %d", code, p % 40, p % 40 + F.col("p_size"), "p_size")
+    lines = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.expr("cast(p_partkey div 100 as string)").alias("path"), p.alias("line_no"), line.alias("line"))
+    return text.parse_ranges(lines).select("range_seq", "rtype", "start", "end", "name")
+
+
+@query("""SELECT c_custkey AS line_no, 'P' || c_custkey // 50 AS project, 'a' || c_custkey AS commit_a, 'b' || c_nationkey AS commit_b FROM customer WHERE c_custkey % 50 <> 0""")
+def commit_pairs(spark, sf_dir):
+    k = F.col("c_custkey")
+    line = F.when(k % 50 == 0, F.format_string("P%d:", F.expr("c_custkey div 50"))).otherwise(F.format_string("a%d b%d", k, "c_nationkey"))
+    lines = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.lit("l").alias("path"), k.alias("line_no"), line.alias("line"))
+    return text.parse_commit_pairs(lines).select("line_no", "project", "commit_a", "commit_b")
+
+
+@query("""SELECT p_partkey AS line_no, 'f' || p_partkey // 20 AS file, CASE p_partkey % 4 WHEN 1 THEN '#' WHEN 2 THEN '+' END AS diff_type, CAST(p_partkey AS INT) AS start_a, CAST(p_size AS INT) AS len_a, CAST(p_partkey + 1 AS INT) AS start_b, CAST(p_size % 7 AS INT) AS len_b
+FROM part WHERE p_partkey % 20 <> 0""")
+def truth_blocks(spark, sf_dir):
+    p, s = F.col("p_partkey"), F.col("p_size")
+    forms = ("    %d, %d, = %d, %d", "# %d, %d, = ,%d, %d", "+ %d,, %d = %d, %d, ", "  %d, %d = ,%d, %d")
+    block = F.element_at(F.array(*[F.format_string(f, p, s, p + 1, s % 7) for f in forms]), (p % 4 + 1).cast("int"))
+    line = F.when(p % 20 == 0, F.format_string("f%d", F.expr("p_partkey div 20"))).otherwise(block)
+    lines = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lit("g").alias("path"), p.alias("line_no"), line.alias("line"))
+    return text.parse_truth(lines).select("line_no", "file", "diff_type", "start_a", "len_a", "start_b", "len_b")

@@ -84,3 +84,33 @@ def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("node_key") % 10 == 0, "").when(F.col("node_key") % 4 == 0, "sym_").otherwise(F.col("name"))
     start = F.col("start") - F.col("node_key") % 3 + 1
     return n.select("pair_id", "variant", "file", F.col("paint_seq").alias("range_seq"), kind.alias("rtype"), start.alias("start"), (F.col("end") + F.col("node_key") % 2).alias("end"), name.alias("name"))
+
+
+def types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """type_id, kind, tag, identifier, name, base_id, inside, is_decl: each part is a type whose base has half its number."""
+    p = F.col("p_partkey")
+    kind = _pick(("basic", "subroutine", "composite", "derived", "derived", "derived", "derived"), p % 7)
+    tag = F.when(p % 7 >= 3, _pick(("typedef", "pointer", "pointer", "const", "volatile"), p % 5)).when((p % 7 == 2) & (p % 4 == 0), "array").otherwise("other")
+    name = F.when(p % 7 == 0, F.concat(F.lit("b"), p.cast("string"))).when((p % 7 == 2) & (p % 3 != 0), F.concat(F.lit("C"), p.cast("string"))).when((p % 7 >= 3) & (p % 5 == 0), F.concat(F.lit("T"), p.cast("string")))
+    has_base = ((p % 7 >= 3) | ((p % 7 == 2) & (p % 4 == 0))) & (p % 11 != 0) & (p > 1)
+    return _table(spark, sf_dir, "part").select(
+        p.alias("type_id"), kind.alias("kind"), tag.alias("tag"), F.when((p % 7 == 2) & (p % 6 == 1), F.concat(F.lit("_Z"), p.cast("string"))).alias("identifier"), name.alias("name"),
+        F.when(has_base, F.expr("p_partkey div 2")).alias("base_id"), (p % 13 != 0).alias("inside"), (p % 17 == 0).alias("is_decl"),
+    )
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """type_id, seq, member_id of subroutines and composites: two types of about a third of their number, one of them null at times."""
+    p = F.col("p_partkey")
+    rows = _table(spark, sf_dir, "part").filter("p_partkey > 3 and p_partkey % 7 in (1, 2)")
+    third = F.expr("p_partkey div 3")
+    return rows.select(p.alias("type_id"), F.posexplode(F.array(F.when(p % 10 != 0, third), third + 1)).alias("seq", "member_id"))
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of functions as facts.callee_links takes them, a lineitem each."""
+    n, o = F.col("l_linenumber"), F.col("l_orderkey")
+    return _table(spark, sf_dir, "lineitem").select(
+        F.lit(PAIR).alias("pair_id"), F.lit("A").alias("variant"), o.cast("string").alias("src_key"), F.col("l_partkey").cast("string").alias("dst_key"), F.concat(F.lit("c"), F.col("l_suppkey").cast("string")).alias("callee"),
+        (n % 2 == 0).alias("callee_defined"), (o % 3 != 0).alias("debug_ok"), F.when(F.col("l_partkey") % 4 != 0, F.lit("s")).otherwise("").alias("sub_name"), (n != 5).alias("is_direct"), (F.col("l_suppkey") % 9 == 0).alias("is_intrinsic"),
+    )
