@@ -33,5 +33,5 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = both.join(low, "v").filter("m > v").select(F.col("m").alias("v"), F.col("low").alias("m")).distinct()
         low = large.groupBy("v").agg(F.min("m").alias("low"))
         small = large.join(low, "v").select(F.when(F.col("m") == F.col("low"), F.col("v")).otherwise(F.col("m")).alias("v"), F.col("low").alias("m"))
-        e = cut(small.distinct(), "edges")
+        e = cut(small.distinct(), "edges", instead=e)
     return e.select(F.col("v").alias("vertex"), F.col("m").alias("component")).unionByName(e.select(F.col("m").alias("vertex"), F.col("m").alias("component")).distinct())

@@ -69,15 +69,21 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
+def cut(df: DataFrame, name: str = "t", instead: DataFrame | None = None) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back.
 
     This ends the lineage durably: a lost executor never repeats what stands before, and several
-    readers share one computation.
+    readers share one computation.  ``instead`` is an earlier cut that nothing needs any more, as the
+    round before in a loop; its table is removed.
     """
-    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    if instead is not None:
+        _drop(spark, instead._cut_path)
+    return out
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
