@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+# The lines of hunk files.
+HEADER_LINE = "@ %s, %d, %d"
+HUNK_LINE = "%s %d, %d, = ,%d, %d"
+
 
 def write_lines(lines: DataFrame, order: list[str], path: str) -> None:
     """One text file of the column ``line`` in order; meant for reports, whose size people can read."""
@@ -15,8 +19,8 @@ def hunk_lines(files: DataFrame, hunks: DataFrame) -> DataFrame:
 
     files: path, header_seq, file, lines_a, lines_b.  hunks: path, header_seq, hunk_seq and the hunk.
     """
-    head = files.select("path", "header_seq", F.lit(-1).alias("hunk_seq"), F.format_string("@ %s, %d, %d", "file", "lines_a", "lines_b").alias("line"))
-    body = hunks.select("path", "header_seq", "hunk_seq", F.format_string("%s %d, %d, = ,%d, %d", "diff_type", "start_a", "len_a", "start_b", "len_b").alias("line"))
+    head = files.select("path", "header_seq", F.lit(-1).alias("hunk_seq"), F.format_string(HEADER_LINE, "file", "lines_a", "lines_b").alias("line"))
+    body = hunks.select("path", "header_seq", "hunk_seq", F.format_string(HUNK_LINE, "diff_type", "start_a", "len_a", "start_b", "len_b").alias("line"))
     return head.unionByName(body)
 
 
@@ -49,8 +53,8 @@ def whole_file_hunks(merges: DataFrame, counts: DataFrame) -> DataFrame:
 
 def prepended(whole: DataFrame, lines: DataFrame) -> DataFrame:
     """(part, line_no, k, line): whole-file hunks and their headers, then the lines that were there."""
-    head = whole.select(F.lit(0).alias("part"), "line_no", F.lit(0).alias("k"), F.format_string("@ %s, %d, %d", "file", "lines_a", "lines_b").alias("line"))
-    body = whole.select(F.lit(0).alias("part"), "line_no", F.lit(1).alias("k"), F.format_string("%s %d, %d, = ,%d, %d", "diff_type", "start_a", "len_a", "start_b", "len_b").alias("line"))
+    head = whole.select(F.lit(0).alias("part"), "line_no", F.lit(0).alias("k"), F.format_string(HEADER_LINE, "file", "lines_a", "lines_b").alias("line"))
+    body = whole.select(F.lit(0).alias("part"), "line_no", F.lit(1).alias("k"), F.format_string(HUNK_LINE, "diff_type", "start_a", "len_a", "start_b", "len_b").alias("line"))
     return head.unionByName(body).unionByName(lines.select(F.lit(1).alias("part"), "line_no", F.lit(0).alias("k"), "line"))
 
 

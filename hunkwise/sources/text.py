@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+# The formats of the files' lines, and the line count that marks a file taken from side A.
 HEADER = r"^@ (.*?), (-?\d+), (-?\d+)\s*$"
 HUNK = r"^([+\-#]) (\d+), (\d+), = ,(\d+), (\d+)\s*$"
 RANGE = r"^([a-z]), (\d+), (\d+), (.*)$"
 DIFF = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 TRUTH = r"^\s*([+\-#] )?(\d+),+ *(\d+),? = ,?(\d+), (\d+),?\s*$"
 PAIR = r"([0-9a-f]{6,40})_([0-9a-f]{6,40})"
-IR_SENTINEL_A = -2
+TAKEN_FROM_A = -2
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -57,7 +58,7 @@ def parse_headers(lines: DataFrame) -> DataFrame:
     h = lines.filter(F.col("line").startswith("@ "))
     a, b = _int(HEADER, 2), _int(HEADER, 3)
     out = h.select("path", F.col("line_no").alias("header_seq"), F.regexp_extract("line", HEADER, 1).alias("file"), a.alias("lines_a"), b.alias("lines_b"))
-    fast = F.when((F.col("lines_a") < 0) & (F.col("lines_b") < 0), F.when(F.col("lines_a") == IR_SENTINEL_A, "A").otherwise("B"))
+    fast = F.when((F.col("lines_a") < 0) & (F.col("lines_b") < 0), F.when(F.col("lines_a") == TAKEN_FROM_A, "A").otherwise("B"))
     return out.withColumn("fast_merged", fast)
 
 
