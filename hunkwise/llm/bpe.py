@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from hunkwise.llm import textvec as tv
 
 SHIFT = 0x100  # byte b stands as the character U+0100 + b
-MEMO = 300_000
+MEMO = 200_000
 
 
 def _varint(n: int) -> bytes:

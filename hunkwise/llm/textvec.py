@@ -1,6 +1,6 @@
 """Words, hashes and shingles of many texts at once, as numpy arrays over their UTF-8 bytes.
 
-All functions work on chunks of whole texts of about a megabyte, so memory does not depend on how
+All functions work on chunks of whole texts of about half a megabyte, so memory does not depend on how
 many rows an Arrow batch has; a text that is longer makes a chunk of its own.  Null texts count as
 empty.  Words are runs of bytes other than ASCII white space (0x20, 0x09 to 0x0D).
 """
@@ -18,7 +18,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: True for bytes that begin a code point.
 LEAD = (np.arange(256) & 0xC0) != 0x80
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 SHINGLE = 5
 
 
