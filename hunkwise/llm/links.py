@@ -2,7 +2,7 @@
 
 Bucket rows are dealt by range of all their sort columns and stream by in that order, so a bucket may
 span tasks and none is ever gathered.  A row is held against the rows shortly before it in its bucket
-and pairs with the nearest and the farthest of them that are close.  The sort columns after the bucket
+and pairs with the few of them that are closest, if they are close.  The sort columns after the bucket
 bring like rows together, so that in a bucket of any size a row's likes stand right before it.  What a
 partition's border cuts apart is looked at once more.
 """
@@ -18,30 +18,32 @@ from pyspark.sql import types as T
 
 from hunkwise.session import cut
 
-LAG = 64
+LAG, BEST = 128, 4
 PAIR, EDGE, LONG = 0, 1, 2
-#: Makes of a table's columns a test whether rows i and j are close, on index arrays.
+#: Makes of a table's columns a score of how close rows i and j are, on index arrays; -1 is not close.
 Closeness = Callable[[pa.Table], Callable[[np.ndarray, np.ndarray], np.ndarray]]
 
 
-def near_rows(bucket: np.ndarray, close: Callable[[np.ndarray, np.ndarray], np.ndarray], skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j): each sorted row i from ``skip`` on with the nearest and the farthest close row j of the LAG rows before it in its bucket."""
+def near_rows(bucket: np.ndarray, score: Callable[[np.ndarray, np.ndarray], np.ndarray], skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): each sorted row i from ``skip`` on with the BEST closest rows j of the LAG rows before it in its bucket; of equally close ones, the nearer."""
     n = len(bucket)
     start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if n else np.zeros(0, np.int64)
     place = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
-    near, far = np.full(n, -1), np.full(n, -1)
+    # Score and nearness as one number: the larger, the better.
+    best = np.full((BEST, n), -1)
     i = np.flatnonzero(place >= 1)
     i = i[i >= skip]
     for lag in range(1, LAG + 1):
         i = i[place[i] >= lag]
         if not len(i):
             break
-        hit = i[close(i, i - lag)]
-        far[hit] = hit - lag
-        fresh = hit[near[hit] < 0]
-        near[fresh] = fresh - lag
-    one, two = np.flatnonzero(near >= 0), np.flatnonzero((far >= 0) & (far != near))
-    return np.concatenate([one, two]), np.concatenate([near[one], far[two]])
+        s = score(i, i - lag)
+        to, new = i[s >= 0], s[s >= 0] * (2 * LAG) + LAG - lag
+        for k in range(BEST):
+            old = best[k, to]
+            best[k, to], new = np.maximum(old, new), np.minimum(old, new)
+    k, at = np.nonzero(best >= 0)
+    return at, at - (LAG - best[k, at] % (2 * LAG))
 
 
 def _scan(closeness: Closeness, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
