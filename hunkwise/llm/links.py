@@ -24,29 +24,29 @@ PAIR, EDGE, LONG = 0, 1, 2
 Closeness = Callable[[pa.Table], Callable[[np.ndarray, np.ndarray], np.ndarray]]
 
 
-def near_rows(bucket: np.ndarray, score: Callable[[np.ndarray, np.ndarray], np.ndarray], skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j): each sorted row i from ``skip`` on with the BEST closest rows j of the LAG rows before it in its bucket; of equally close ones, the nearer."""
+def near_rows(bucket: np.ndarray, score: Callable[[np.ndarray, np.ndarray], np.ndarray], skip: int = 0, most: int = BEST, lags: int = LAG) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): each sorted row i from ``skip`` on with the ``most`` closest rows j of the ``lags`` rows before it in its bucket; of equally close ones, the nearer."""
     n = len(bucket)
     start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if n else np.zeros(0, np.int64)
     place = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
     # Score and nearness as one number: the larger, the better.
-    best = np.full((BEST, n), -1)
+    best = np.full((most, n), -1)
     i = np.flatnonzero(place >= 1)
     i = i[i >= skip]
-    for lag in range(1, LAG + 1):
+    for lag in range(1, lags + 1):
         i = i[place[i] >= lag]
         if not len(i):
             break
         s = score(i, i - lag)
-        to, new = i[s >= 0], s[s >= 0] * (2 * LAG) + LAG - lag
-        for k in range(BEST):
+        to, new = i[s >= 0], s[s >= 0] * (2 * lags) + lags - lag
+        for k in range(most):
             old = best[k, to]
             best[k, to], new = np.maximum(old, new), np.minimum(old, new)
     k, at = np.nonzero(best >= 0)
-    return at, at - (LAG - best[k, at] % (2 * LAG))
+    return at, at - (lags - best[k, at] % (2 * lags))
 
 
-def _scan(closeness: Closeness, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scan(closeness: Closeness, names: list[str], most: int, lags: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of sorted rows: close pairs (kind 0: a, b), the rows at the partition's borders (1), long buckets (2: bucket)."""
 
     def rows(kind: int, table: pa.Table, a=None, b=None) -> Iterator[pa.RecordBatch]:
@@ -68,30 +68,30 @@ def _scan(closeness: Closeness, names: list[str]) -> Callable[[Iterator[pa.Recor
             skip = tail.num_rows if tail is not None else 0
             whole = pa.concat_tables([tail, part]).combine_chunks() if skip else part.combine_chunks()
             bucket = whole.column("bucket").to_numpy()
-            i, j = near_rows(bucket, closeness(whole), skip)
+            i, j = near_rows(bucket, closeness(whole), skip, most, lags)
             if len(i):
                 node = whole.column("node").to_numpy()
                 yield from rows(PAIR, None, np.minimum(node[i], node[j]), np.maximum(node[i], node[j]))
             if not begun:
                 begun = True
-                yield from rows(EDGE, whole.slice(0, int(np.searchsorted(bucket[:LAG], bucket[0], "right"))))
-            far = np.unique(bucket[LAG:][bucket[LAG:] == bucket[:-LAG]])
+                yield from rows(EDGE, whole.slice(0, int(np.searchsorted(bucket[:lags], bucket[0], "right"))))
+            far = np.unique(bucket[lags:][bucket[lags:] == bucket[:-lags]])
             if len(far):
                 at = np.searchsorted(bucket, far)
                 yield from rows(LONG, whole.take(pa.array(at)))
-            tail = whole.slice(max(int(np.searchsorted(bucket, bucket[-1])), whole.num_rows - LAG))
+            tail = whole.slice(max(int(np.searchsorted(bucket, bucket[-1])), whole.num_rows - lags))
         if tail is not None:
             yield from rows(EDGE, tail)
 
     return run
 
 
-def close_pairs(rows: DataFrame, closeness: Closeness) -> tuple[DataFrame, DataFrame]:
+def close_pairs(rows: DataFrame, closeness: Closeness, most: int = BEST, lags: int = LAG) -> tuple[DataFrame, DataFrame]:
     """(pairs (a, b), long buckets (bucket)) of rows (bucket, ..., node), sorted by all their columns that can be."""
     names = rows.columns
     order = [f.name for f in rows.schema.fields if not isinstance(f.dataType, T.BinaryType)]
     schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), *[T.StructField(f.name, f.dataType) for f in rows.schema.fields]])
-    run = _scan(closeness, names)
+    run = _scan(closeness, names, most, lags)
     found = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema), "close")
     edge = found.filter(F.col("kind") == EDGE).select(*names).distinct().repartition("bucket").sortWithinPartitions(*order).mapInArrow(run, schema)
     is_pair = F.col("kind") == PAIR
