@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -293,6 +294,22 @@ def test_lines(docs):
     assert out.columns == docs.columns and Counter((r.doc_id, r.text) for r in out.collect()) == want
 
 
+def test_lines_with_changed_words(shipped):
+    # One word replaced or left out: edit similarity above 0.8, hashes far more than three bits apart.
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8)))
+    rows = []
+    for k in range(60):
+        a = [word() for _ in range(8 + k)]
+        b = a[:3] + ([word()] if k % 2 else []) + a[4:]
+        assert lines.edit_similarity(" ".join(a), " ".join(b)) >= 0.8 or k < 10
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    near = [lines.edit_similarity(rows[2 * k][1], rows[2 * k + 1][1]) >= 0.8 for k in range(60)]
+    far = sum((plain_simhash(rows[2 * k][1]) ^ plain_simhash(rows[2 * k + 1][1])).bit_count() > 3 for k in range(60) if near[k])
+    got = {x.doc_id: len(x.removed) for x in lines.line_decisions(shipped.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert far > 20 and got == {d: int(d % 2 and near[d // 2]) for d in range(120)}
+
+
 def test_long_buckets_of_lines(shipped):
     # One word in twelve differs: far more near lines in a bucket than a row is held against.
     words = "the quick brown fox jumps over one lazy dog near green hills while old friends watch from some distant wooden bridge at dawn and sing quiet songs".split()
