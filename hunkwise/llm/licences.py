@@ -41,7 +41,17 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
+    ("CC0-1.0", "This work is licensed under CC0 1.0 Universal."),
+    ("MIT", "Licensed under the MIT License."),
 ]
+# The Creative Commons licences in short and long wording.
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+for _code, _name in _CC.items():
+    for _version, _port in (("4.0", "International"), ("3.0", "Unported")):
+        TEMPLATES += [(f"CC-{_code}-{_version}", t) for t in (
+            f"Licensed under CC {_code} {_version}.", f"This work is licensed under CC {_code} {_version}.", f"This work is licensed under a Creative Commons {_name} {_version} {_port} License.", f"Licensed under the Creative Commons {_name} {_version} {_port} License.",
+        ) if (f"CC-{_code}-{_version}", t) not in TEMPLATES]
 DICE = 0.8
 
 

@@ -193,6 +193,13 @@ def test_licences(docs):
     assert want == {g for g in got if g[:2] in plain}
 
 
+def test_creative_commons_licences(shipped):
+    rows = [("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Some text.\nLicensed under CC BY-SA 3.0.\nMore of it.", "CC-BY-SA-3.0"), ("Licensed under CC BY-NC-ND 4.0", "CC-BY-NC-ND-4.0"),
+            ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"), ("Licensed under CC BY 4.0.", "CC-BY-4.0")]
+    docs = shipped.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id: r.licence for r in licences.licence_scan(docs).collect()} == {k: name for k, (_, name) in enumerate(rows)}
+
+
 def test_gif_digests(docs):
     want = []
     for r in rows_of(docs):
