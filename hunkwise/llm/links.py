@@ -1,10 +1,17 @@
-"""Candidate pairs of near-duplicates from sorted buckets, without all pairs of a bucket.
+"""Groups of near-duplicates from sorted buckets, without all pairs of a bucket.
 
 Bucket rows are dealt by range of all their sort columns and stream by in that order, so a bucket may
-span tasks and none is ever gathered.  A row is held against the rows shortly before it in its bucket
+span tasks and none is ever gathered.  A row is held against the ``lags`` rows before it in its bucket
 and pairs with the few of them that are closest, if they are close.  The sort columns after the bucket
-bring like rows together, so that in a bucket of any size a row's likes stand right before it.  What a
-partition's border cuts apart is looked at once more.
+bring like rows together.  What a partition's border cuts apart is looked at once more.
+
+These bounds hold for one round only.  ``join_close`` verifies a round's pairs, joins what they link,
+and goes on with the buckets where something is left to look at: those that held more close rows than a
+row pairs with, and those longer than a row is held against.  Where all rows of such a bucket are joined
+by then, nothing can be added and it is dropped.  In the rest, only rows of different groups pair, twice
+as many a row as the round before; the rows of a long bucket stand in several orders, so that each has
+other rows before it.  The rounds end when nothing is left to look at, or with one in which less than
+``YIELD`` of the pairs verified are links.
 """
 
 from __future__ import annotations
@@ -16,21 +23,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
+from hunkwise.operators.components import components
 from hunkwise.session import cut
 
-LAG, BEST = 128, 4
-PAIR, EDGE, LONG = 0, 1, 2
+LAG, BEST, YIELD = 128, 4, 0.01
+PAIR, EDGE, OPEN, LONG = 0, 1, 2, 3
 #: Makes of a table's columns a score of how close rows i and j are, on index arrays; -1 is not close.
 Closeness = Callable[[pa.Table], Callable[[np.ndarray, np.ndarray], np.ndarray]]
 
 
-def near_rows(bucket: np.ndarray, score: Callable[[np.ndarray, np.ndarray], np.ndarray], skip: int = 0, most: int = BEST, lags: int = LAG) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j): each sorted row i from ``skip`` on with the ``most`` closest rows j of the ``lags`` rows before it in its bucket; of equally close ones, the nearer."""
+def near_rows(bucket: np.ndarray, score: Callable[[np.ndarray, np.ndarray], np.ndarray], skip: int = 0, most: int = BEST, lags: int = LAG) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, more): each sorted row i from ``skip`` on with the ``most`` closest rows j of the ``lags`` rows before it in its bucket; of equally close ones, the nearer.
+
+    ``more``: the rows that have other close ones among these.
+    """
     n = len(bucket)
     start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if n else np.zeros(0, np.int64)
     place = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
     # Score and nearness as one number: the larger, the better.
-    best = np.full((most, n), -1)
+    best = np.full((most if most < lags else 0, n), -1)
+    every, count = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], np.zeros(n, np.int64)
     i = np.flatnonzero(place >= 1)
     i = i[i >= skip]
     for lag in range(1, lags + 1):
@@ -39,17 +51,25 @@ def near_rows(bucket: np.ndarray, score: Callable[[np.ndarray, np.ndarray], np.n
             break
         s = score(i, i - lag)
         to, new = i[s >= 0], s[s >= 0] * (2 * lags) + lags - lag
-        for k in range(most):
+        if not len(to):
+            continue
+        if most >= lags:
+            every.append((to, to - lag))
+            continue
+        count[to] += 1
+        for k in range(min(most, lag)):
             old = best[k, to]
             best[k, to], new = np.maximum(old, new), np.minimum(old, new)
+    if most >= lags:
+        return *(np.concatenate(x) for x in zip(*every)), np.zeros(0, np.int64)
     k, at = np.nonzero(best >= 0)
-    return at, at - (lags - best[k, at] % (2 * lags))
+    return at, at - (lags - best[k, at] % (2 * lags)), np.flatnonzero(count > most)
 
 
 def _scan(closeness: Closeness, names: list[str], most: int, lags: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of sorted rows: close pairs (kind 0: a, b), the rows at the partition's borders (1), long buckets (2: bucket)."""
+    """Of sorted rows: close pairs (kind 0: a, b), the rows at the partition's borders (1), in a the buckets with more close pairs (2) and the long ones (3)."""
 
-    def rows(kind: int, table: pa.Table, a=None, b=None) -> Iterator[pa.RecordBatch]:
+    def rows(kind: int, table: pa.Table | None, a=None, b=None) -> Iterator[pa.RecordBatch]:
         n = len(a) if a is not None else table.num_rows
         ends = [pa.array(x) if x is not None else pa.nulls(n, pa.int64()) for x in (a, b)]
         own = [table.column(c) if table is not None else pa.nulls(n, t) for c, t in zip(names, types)]
@@ -68,17 +88,16 @@ def _scan(closeness: Closeness, names: list[str], most: int, lags: int) -> Calla
             skip = tail.num_rows if tail is not None else 0
             whole = pa.concat_tables([tail, part]).combine_chunks() if skip else part.combine_chunks()
             bucket = whole.column("bucket").to_numpy()
-            i, j = near_rows(bucket, closeness(whole), skip, most, lags)
+            i, j, more = near_rows(bucket, closeness(whole), skip, most, lags)
             if len(i):
                 node = whole.column("node").to_numpy()
                 yield from rows(PAIR, None, np.minimum(node[i], node[j]), np.maximum(node[i], node[j]))
             if not begun:
                 begun = True
-                yield from rows(EDGE, whole.slice(0, int(np.searchsorted(bucket[:lags], bucket[0], "right"))))
-            far = np.unique(bucket[lags:][bucket[lags:] == bucket[:-lags]])
-            if len(far):
-                at = np.searchsorted(bucket, far)
-                yield from rows(LONG, whole.take(pa.array(at)))
+                yield from rows(EDGE, whole.slice(0, int(np.searchsorted(bucket[: lags + 1], bucket[0], "right"))))
+            for kind, found in ((OPEN, bucket[more]), (LONG, bucket[lags:][bucket[lags:] == bucket[:-lags]])):
+                if len(found):
+                    yield from rows(kind, None, np.unique(found))
             tail = whole.slice(max(int(np.searchsorted(bucket, bucket[-1])), whole.num_rows - lags))
         if tail is not None:
             yield from rows(EDGE, tail)
@@ -87,12 +106,88 @@ def _scan(closeness: Closeness, names: list[str], most: int, lags: int) -> Calla
 
 
 def close_pairs(rows: DataFrame, closeness: Closeness, most: int = BEST, lags: int = LAG) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b), long buckets (bucket)) of rows (bucket, ..., node), sorted by all their columns that can be."""
+    """(pairs (a, b), open buckets (bucket, long)) of rows (bucket, ..., node), sorted by all their columns that can be.
+
+    A bucket is open if it holds close pairs beyond those given, and long if rows of it were not held
+    against each other.
+    """
     names = rows.columns
     order = [f.name for f in rows.schema.fields if not isinstance(f.dataType, T.BinaryType)]
     schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), *[T.StructField(f.name, f.dataType) for f in rows.schema.fields]])
     run = _scan(closeness, names, most, lags)
     found = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema), "close")
     edge = found.filter(F.col("kind") == EDGE).select(*names).distinct().repartition("bucket").sortWithinPartitions(*order).mapInArrow(run, schema)
-    is_pair = F.col("kind") == PAIR
-    return found.filter(is_pair).select("a", "b").unionByName(edge.filter(is_pair).select("a", "b")), found.filter(F.col("kind") == LONG).select("bucket").distinct()
+    both = cut(found.filter(F.col("kind") != EDGE).select("kind", "a", "b").unionByName(edge.filter(F.col("kind") != EDGE).select("kind", "a", "b")), "close")
+    still = both.filter(F.col("kind") != PAIR).groupBy(F.col("a").alias("bucket")).agg((F.max("kind") == LONG).alias("long"))
+    return both.filter(F.col("kind") == PAIR).select("a", "b"), still
+
+
+def _between(closeness: Closeness) -> Closeness:
+    """Close are only rows of different groups."""
+
+    def of(rows: pa.Table):
+        test, group = closeness(rows), rows.column("group").to_numpy()
+
+        def apart(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out, other = np.full(len(i), -1), np.flatnonzero(group[i] != group[j])
+            if len(other):
+                out[other] = test(i[other], j[other])
+            return out
+
+        return apart
+
+    return of
+
+
+def join_close(rows: DataFrame, closeness: Closeness, verify: Callable[[DataFrame], DataFrame], turned: Callable[[DataFrame], DataFrame], most: int = BEST, lags: int = LAG) -> DataFrame:
+    """(vertex, component) of the nodes of rows (bucket, ..., node) that links join.
+
+    verify: of pairs (a, b), those that are links.  turned: of rows, the same rows in other orders, each
+    order a bucket of its own.
+    """
+    names = rows.columns
+    order = [c for c in names if c != "node"]
+    pairs, still = close_pairs(rows, closeness, most, lags)
+    tested = cut(pairs.distinct(), "pairs")
+    joined = cut(components(cut(verify(tested), "links"), "a", "b"), "joined")
+    if still.isEmpty():
+        return joined
+    again = cut(_mixed(rows.join(still, "bucket"), joined).select(*names, "long"), "again")
+    rest = again.filter("not long").select(*names).unionByName(turned(again.filter("long").select(*names)).select(*names))
+    while True:
+        most = min(2 * most, lags)
+        rest = cut(_mixed(rest.select(*names), joined).select(*order, "group", "node"), "rest")
+        pairs, _ = close_pairs(rest, _between(closeness), most, lags)
+        pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        new = cut(verify(pairs), "links")
+        found = new.count()
+        if found:
+            joined = _merged(joined, new)
+        if found <= YIELD * pairs.count():
+            return joined
+        tested = cut(tested.unionByName(pairs), "tested")
+
+
+def turn(sample: str, width: int, orders: int, to: str) -> Callable[[DataFrame], DataFrame]:
+    """Makes of rows (bucket, ..., ``sample``, ...) ``orders`` of each, sorted first, in ``to``, by six bytes of the sample, which start elsewhere in each bucket and order."""
+
+    def of(rows: DataFrame) -> DataFrame:
+        each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("by"))
+        start = F.pmod(F.col("bucket") + F.col("by") * F.lit(width // orders), F.lit(width)).cast("int")
+        bytes_ = F.substring(F.concat(sample, sample), start + 1, F.lit(6))
+        return each.withColumns({"bucket": F.xxhash64("bucket", "by"), to: F.conv(F.hex(bytes_), 16, 10).cast("long")}).select(*rows.columns)
+
+    return of
+
+
+def _mixed(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several groups, with their ``group``."""
+    named = rows.join(joined.select(F.col("vertex").alias("node"), "component"), "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+    mixed = named.groupBy("bucket").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x <> y").select("bucket")
+    return named.join(mixed, "bucket")
+
+
+def _merged(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """Components with further links between their vertices."""
+    edges = joined.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(links.select("a", "b"))
+    return cut(components(cut(edges, "links"), "a", "b"), "joined")

@@ -7,12 +7,14 @@ empty.  Words are runs of bytes other than ASCII white space (0x20, 0x09 to 0x0D
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from hunkwise.session import cut
+
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -137,6 +139,22 @@ def shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(w.doc[i], np.arange(len(w.at))), h
 
 
+def lines(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row, number from 0) of the lines of a chunk's texts, without the line ends."""
+    end = np.flatnonzero(buf == 10)
+    docs = len(at) - 1
+    start = np.concatenate([at[:-1], end + 1])
+    row = np.concatenate([np.arange(docs), np.searchsorted(at, end, "right") - 1])
+    order = np.argsort(start + row, kind="stable")  # an empty text's line stands before the next text's first
+    start, row = start[order], row[order]
+    first = np.searchsorted(row, np.arange(docs))
+    # A line ends at the break before the next one's start, or with its text.
+    last = np.append(row[1:] != row[:-1], True) if docs else np.zeros(0, bool)
+    stop = np.append(start[1:] - 1, len(buf))[: len(start)]
+    stop = np.where(last, at[row + 1], stop)
+    return start, stop, row, np.arange(len(row)) - first[row]
+
+
 def code_points(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     """For each byte place the number of code points before it in the chunk."""
     out = np.zeros(len(buf) + 1, np.int64)
@@ -177,8 +195,14 @@ def block_rows(keys, arrays) -> pa.RecordBatch:
 MAP_BLOCK = 1 << 13
 
 
-def bit_map(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bit map of ``bits`` bits of a column of 64-bit hashes."""
+#: Bounds of a bit map's size; beyond the upper one more than a sixteenth of other rows pass it, and joins drop them.
+FEWEST_BITS, MOST_BITS = 1 << 20, 1 << 28
+
+
+def bit_map(df: DataFrame, column: str, bits: int | None = None) -> np.ndarray:
+    """A bit map of a column of 64-bit hashes, of ``bits`` bits or, within the bounds, 16 to 32 a row."""
+    if bits is None:
+        bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (16 * df.count()).bit_length()))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(bits // 8, np.uint8)
@@ -196,6 +220,59 @@ def bit_map(df: DataFrame, column: str, bits: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+#: Keys that are sorted at once, and that a task gathers before it deals them out.
+PART, GATHER = 1 << 20, 1 << 21
+
+
+def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], n: int) -> DataFrame:
+    """(hash): the 64-bit hashes that several of the rows have, of about n in all.
+
+    Hashes are dealt by range in packed blocks, each of which holds a hash of a task's rows twice at
+    most; so a part has as many as its range has different ones for each task, and no frequent one grows.
+    """
+    parts = max(1, -(-n // PART))
+
+    def pack(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h = np.sort(np.concatenate(own).view(U))
+        # Equal neighbours beyond the second say nothing new.
+        more = np.ones(len(h), bool)
+        more[2:] = (h[2:] != h[1:-1]) | (h[1:-1] != h[:-2])
+        h = h[more]
+        part = ((h >> U(32)) * U(parts)) >> U(32)
+        heads = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(h) else np.zeros(0, np.int64)
+        yield block_rows(part[heads].astype(np.int64), np.split(h, heads[1:]) if len(h) else [])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, size = [], 0
+        for b in batches:
+            own.append(hashes(b))
+            size += len(own[-1])
+            if size >= GATHER:
+                yield from pack(own)
+                own, size = [], 0
+        if own:
+            yield from pack(own)
+
+    def twice(own: list[bytes]) -> pa.RecordBatch:
+        h = np.sort(np.concatenate([np.frombuffer(x, np.int64) for x in own]))
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(h[1:][h[1:] == h[:-1]]))], ["hash"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, []
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if k != at and own:
+                    yield twice(own)
+                    own = []
+                at = k
+                own.append(data)
+        if own:
+            yield twice(own)
+
+    dealt = df.mapInArrow(deal, BLOCK_SCHEMA).repartition("block").sortWithinPartitions("block")
+    return cut(dealt.mapInArrow(merge, "hash long"), "repeated")
+
+
 def in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether hashes (int64) may be among those of the map; those that are, are."""
     h = hashes.view(U) % U(len(bits) * 8)
