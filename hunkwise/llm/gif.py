@@ -7,6 +7,7 @@ deferred clear codes.  The writer makes GIF89a with real LZW compression.
 Code widths depend only on the number of codes since the last clear code, so the reader cuts a whole
 run of codes out of the bit stream with array arithmetic before it follows them through the
 dictionary.  A truncated or damaged stream gives the pixels before the damage, index 0 after.
+Sizes come from a header that may be wrong: nothing of more than ``MOST_PIXELS`` pixels is made.
 """
 
 from __future__ import annotations
@@ -24,7 +25,10 @@ from pyspark.sql import DataFrame
 from hunkwise.llm import textvec as tv
 
 FULL = 4096
-BINS = 16
+#: Bits of each colour channel that name a bin: 64 bins.
+DEPTH = 2
+BINS = 1 << 3 * DEPTH
+MOST_PIXELS = 1 << 24
 
 
 @dataclass
@@ -186,10 +190,15 @@ def _woven(rows: np.ndarray) -> np.ndarray:
 
 
 def read(data: bytes) -> Gif:
-    """Reads a GIF; what follows the first damage is left out.  Anything else raises ValueError."""
+    """Reads a GIF; what follows the first damage is left out: a code size that no palette has, or a frame above ``MOST_PIXELS``, counts as such.
+
+    Anything else, and a canvas above ``MOST_PIXELS``, raises ValueError.
+    """
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags, background = struct.unpack("<HHBB", data[6:12])
+    if width * height > MOST_PIXELS:
+        raise ValueError("too large a canvas")
     at = 13
 
     def palette(flags: int, at: int) -> tuple[np.ndarray | None, int]:
@@ -217,7 +226,7 @@ def read(data: bytes) -> Gif:
             local, at = palette(packed, at + 10)
             least = data[at] if at < len(data) else 0
             stream, at = _joined(data, at + 1)
-            if not 1 <= least <= 11:
+            if not 1 <= least <= 8 or w * h > MOST_PIXELS:
                 break
             raw = lzw_decode(stream, least, w * h).ljust(w * h, b"\0")
             pixels = np.frombuffer(raw, np.uint8).reshape(h, w)
@@ -259,11 +268,9 @@ def composite(gif: Gif) -> Iterator[np.ndarray]:
 
 
 def histogram(canvas: np.ndarray) -> np.ndarray:
-    """Opaque pixels by brightness, in equal bins from black to white."""
-    seen = canvas[:, :, 3] > 0
-    c = canvas[seen].astype(np.uint32)
-    light = (c[:, 0] * 299 + c[:, 1] * 587 + c[:, 2] * 114) // 1000
-    return np.bincount(light * BINS // 256, minlength=BINS)
+    """Opaque pixels by colour: bin r, g, b (the upper bits of each channel) stands at (r << 4) + (g << 2) + b."""
+    c = canvas[canvas[:, :, 3] > 0] >> (8 - DEPTH)
+    return np.bincount(c[:, 0] << 2 * DEPTH | c[:, 1] << DEPTH | c[:, 2], minlength=BINS)
 
 
 # Sample bytes of a payload become palette indexes: three bits red, three green, two blue.
@@ -312,7 +319,7 @@ def _pages(docs: DataFrame, names: list[str], kinds: list, schema: str, work) ->
 def media_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): every text's bytes, zero-padded to whole rows, stored as a GIF.
 
-    Null text counts as empty and gives one row of zeros.
+    Null text counts as empty and gives one row of zeros.  Repeated rows are kept, other columns ignored.
     """
     return _pages(docs, ["n_bytes", "media"], [pa.int64(), pa.binary()], "n_bytes long, media binary", lambda t: (len(t), store(padded(t))))
 
@@ -320,8 +327,8 @@ def media_documents(docs: DataFrame) -> DataFrame:
 def frame_rows(media: DataFrame) -> DataFrame:
     """(doc_id, frame, delay_ms, width, height, pixels, histogram): the timed frames of a ``media`` column as shown.
 
-    pixels: red, green, blue and opacity of each pixel.  Null or empty media has no frames; media that
-    is no GIF has none either.
+    pixels: red, green, blue and opacity of each pixel.  histogram: as ``histogram``.  Null or empty
+    media has no frames; media that is no GIF, or one with a canvas above ``MOST_PIXELS``, has none either.
     """
     kind = media.schema["doc_id"].dataType.simpleString()
 
@@ -341,7 +348,12 @@ def frame_rows(media: DataFrame) -> DataFrame:
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Stores every text as a GIF, reads it back and returns digests of both, a row for each document."""
+    """Stores every text as a GIF, reads it back and returns digests of both, a row for each document.
+
+    Null and empty texts are one row of zeros.  Texts may be of any length (a frame holds 512 rows);
+    repeated rows are kept; an empty table gives no row; columns other than doc_id and text are ignored,
+    whatever their names.
+    """
 
     def work(text: bytes) -> tuple:
         media = store(padded(text))

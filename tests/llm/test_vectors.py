@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from hunkwise.llm import gif, licences, lines, minhash, passages, secrets, sharding, textvec as tv
@@ -212,6 +213,67 @@ def test_gif_frames_disposal_transparency_interlace():
     assert (gif.read(bytes(data)).frames[0].pixels == rows).all()
 
 
+def plain_lzw(data, least, size):
+    """Code by code, bit by bit."""
+    bits = "".join(f"{b:08b}"[::-1] for b in data)
+    at, width, out, table, last = 0, least + 1, [], None, None
+    while at + width <= len(bits) and len(out) < size:
+        code = int(bits[at : at + width][::-1], 2)
+        at += width
+        if code == 1 << least:
+            table, width, last = [[i] for i in range(1 << least)] + [None, None], least + 1, None
+        elif code == (1 << least) + 1:
+            break
+        else:
+            entry = table[code] if code < len(table) else last + last[:1]
+            out += entry
+            if last is not None and len(table) < 4096:
+                table.append(last + entry[:1])
+            last = entry
+            if len(table) == 1 << width and width < 12:
+                width += 1
+    return bytes(out[:size])
+
+
+@pytest.mark.parametrize("least", range(2, 9))
+def test_lzw_against_plain(least):
+    rng = np.random.default_rng(least)
+    for n in (0, 1, 700, 30_000):
+        for data in (rng.integers(0, 1 << least, n), rng.integers(0, 2, n), np.zeros(n, np.int64)):
+            data = data.astype(np.uint8).tobytes()
+            stream = gif.lzw_encode(data, least)
+            assert plain_lzw(stream, least, n) == data and gif.lzw_decode(stream, least, n) == data
+
+
+def test_a_file_of_another_writer():
+    # A 10 x 10 picture with four colours, byte by byte.
+    data = bytes.fromhex("474946383961 0A000A00 910000 FFFFFF FF0000 0000FF 000000 21F9040000000000 2C00000000 0A000A00 00 02 16 8C2D99872A1CDC33A00275EC95FAA8DE608C04914C01 00 3B")
+    g = gif.read(data)
+    top, middle = [1] * 5 + [2] * 5, [1, 1, 1, 0, 0, 0, 0, 2, 2, 2]
+    assert g.frames[0].pixels.tolist() == [top] * 3 + [middle] * 2 + [middle[::-1]] * 2 + [top[::-1]] * 3
+    (canvas,) = gif.composite(g)
+    seen = {k: n for k, n in enumerate(gif.histogram(canvas).tolist()) if n}
+    assert seen == {0b110000: 42, 0b000011: 42, 0b111111: 16}
+
+
+def test_colours_of_equal_brightness_stand_apart():
+    canvas = np.zeros((1, 3, 4), np.uint8)
+    canvas[0] = [(255, 0, 0, 255), (76, 76, 76, 255), (0, 0, 255, 0)]
+    assert np.flatnonzero(gif.histogram(canvas)).tolist() == [0b010101, 0b110000]
+
+
+def test_headers_that_ask_too_much():
+    colours = np.zeros((4, 3), np.uint8)
+    data = bytearray(gif.write(gif.Gif(2, 2, colours, frames=[gif.Frame(np.ones((2, 2), np.uint8)), gif.Frame(np.ones((2, 2), np.uint8))])))
+    second = data.rindex(b"\x2c")
+    size = second + 10
+    for least in (0, 9, 10, 11, 12, 255):
+        assert len(gif.read(bytes(data[:size]) + bytes([least]) + bytes(data[size + 1 :])).frames) == 1
+    assert len(gif.read(bytes(data[: second + 5]) + b"\xff\xff\xff\xff" + bytes(data[second + 9 :])).frames) == 1
+    with pytest.raises(ValueError):
+        gif.read(bytes(data[:6]) + b"\xff\xff\xff\xff" + bytes(data[10:]))
+
+
 def test_damaged_gif():
     data = gif.store(gif.padded(b"abc" * 500))
     for n in (6, 13, 200, 800, 900, 1000, len(data) - 5):
