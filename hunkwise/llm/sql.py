@@ -57,17 +57,21 @@ WITH t0(template, licence, body) AS (VALUES {values}),
 t1 AS (SELECT template, licence, string_split({norm.format('body')}, ' ') AS w FROM t0),
 t2 AS (SELECT template, licence, len(w) - 1 AS n_template, unnest({bag}) AS bigram FROM t1),
 t AS (SELECT template, licence, n_template, bigram, count(*) AS n_bigram FROM t2 GROUP BY ALL),
-d AS (SELECT row_number() OVER () AS row, doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
-u AS (SELECT row, doc_id, -1 AS unit, text AS body FROM d
-      UNION ALL SELECT row, doc_id, CAST(unnest(range(len(lines))) AS INT), unnest(lines) FROM d WHERE len(lines) > 1),
-v AS (SELECT row, doc_id, unit, string_split({norm.format('body')}, ' ') AS w FROM u),
-x AS (SELECT row, doc_id, unit, len(w) - 1 AS n_unit, unnest({bag}) AS bigram FROM v WHERE len(w) BETWEEN 2 AND 400),
-y AS (SELECT row, doc_id, unit, n_unit, bigram, count(*) AS n FROM x GROUP BY ALL),
-m AS (SELECT row, doc_id, unit, n_unit, template, licence, n_template, sum(least(n, n_bigram)) AS common
+d AS (SELECT row_number() OVER () AS row, doc_id, text, string_split(text, chr(10)) AS lines,
+             string_split_regex(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g'), ' ' || chr(10)), '\\n ?(?:\\n ?)+') AS blocks
+      FROM documents WHERE text IS NOT NULL),
+p AS (SELECT row, doc_id, unnest(range(len(blocks))) AS unit, unnest(blocks) AS body FROM d WHERE len(blocks) > 1),
+u AS (SELECT row, doc_id, 'text' AS kind, 0 AS unit, text AS body FROM d
+      UNION ALL SELECT row, doc_id, 'paragraph', CAST(unit AS INT), body FROM p WHERE contains(body, chr(10))
+      UNION ALL SELECT row, doc_id, 'line', CAST(unnest(range(len(lines))) AS INT), unnest(lines) FROM d WHERE len(lines) > 1),
+v AS (SELECT row, doc_id, kind, unit, string_split({norm.format('body')}, ' ') AS w FROM u),
+x AS (SELECT row, doc_id, kind, unit, len(w) - 1 AS n_unit, unnest({bag}) AS bigram FROM v WHERE len(w) BETWEEN 2 AND 1000),
+y AS (SELECT row, doc_id, kind, unit, n_unit, bigram, count(*) AS n FROM x GROUP BY ALL),
+m AS (SELECT row, doc_id, kind, unit, n_unit, template, licence, n_template, sum(least(n, n_bigram)) AS common
       FROM y JOIN t USING (bigram) GROUP BY ALL),
 z AS (SELECT *, 2 * common / (n_unit + n_template) AS dice FROM m WHERE 2 * common / (n_unit + n_template) >= {licences.DICE}),
-k AS (SELECT *, row_number() OVER (PARTITION BY row, unit ORDER BY dice DESC, licence, common) AS best FROM z)
-SELECT doc_id, unit, licence, CAST(dice AS DOUBLE) AS dice, CAST(common AS BIGINT) AS common FROM k WHERE best = 1
+k AS (SELECT *, row_number() OVER (PARTITION BY row, kind, unit ORDER BY dice DESC, licence, common) AS best FROM z)
+SELECT doc_id, kind, CAST(unit AS INT) AS unit, licence, CAST(dice AS DOUBLE) AS dice, CAST(common AS BIGINT) AS common FROM k WHERE best = 1
 """
 
 

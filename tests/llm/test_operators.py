@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -171,26 +173,70 @@ def test_shards(docs):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
-def test_licences(docs):
+@pytest.fixture(scope="module")
+def notices(shipped):
+    """Licence files and source files with wrapped headers."""
+    full = {}
+    for name, t in licences.TEMPLATES:
+        if len(t) > len(full.get(name, "")):
+            full[name] = t
+    wrap = lambda t, mark="", width=60: "\n".join(mark + x for p in t.split("\n\n") for x in [*textwrap.wrap(p, width), ""])
+    code = "\n".join(f"value_{k} = compute(value_{k - 1}, {k})" for k in range(1, 80))
+    apache = full["Apache-2.0"]
+    head = next(t for _, t in licences.TEMPLATES if t.startswith("Licensed under the Apache License, Version 2.0 (the") and t.endswith("License at"))
+    gpl = next(t for n, t in licences.TEMPLATES if n == "GPL-3.0" and t.startswith("This program"))
+    rows = [
+        (900, "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + wrap(full["MIT"].removeprefix("MIT License\n\n"))),
+        (901, "#!/usr/bin/env python\n#\n# Copyright 2019 Somebody Else\n#\n" + wrap(f"{head}\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\n{apache}", "# ") + "\n" + code),
+        (902, "Copyright 2001, The Owners\nAll rights reserved.\n\n" + wrap(full["BSD-3-Clause"], width=70)),
+        (903, "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n" + "Some other long text stands here.\n" * 300 + "\n" + wrap(gpl, "    ") + "\nand more of it\n"),
+        (904, "/*\n * Copyright 1999\n *\n" + wrap(next(t for n, t in licences.TEMPLATES if n == "ISC"), " * ") + "\n */\n" + code),
+        (905, code + "\n\n" + "Permission was not granted, and the above is not a notice.\n" * 5),
+    ]
+    return shipped.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_licences(docs, notices):
     def norm(t):
         return re.sub(r"[^\w]|_", " ", t.lower()).split() if t.isascii() else None
 
     known = [(name, Counter(zip(w, w[1:]))) for name, t in licences.TEMPLATES for w in [norm(t)]]
-    want = set()
-    for r in rows_of(docs):
-        t = r.text or ""
-        units = [(-1, t)] + (list(enumerate(t.split("\n"))) if "\n" in t else [])
-        for k, u in units:
-            if not u.isascii() or len(u) > 5000:
+
+    def units(t):
+        rows = t.split("\n")
+        blocks = [list(g) for full, g in itertools.groupby(rows, lambda x: any(c.isalnum() for c in x)) if full]
+        yield "text", 0, t
+        if len(blocks) > 1:
+            yield from (("paragraph", k, "\n".join(b)) for k, b in enumerate(blocks) if len(b) > 1)
+        if len(rows) > 1:
+            yield from (("line", k, x) for k, x in enumerate(rows))
+
+    want, plain = set(), set()
+    for r in [*rows_of(docs), *rows_of(notices)]:
+        for kind, k, u in units(r.text or ""):
+            if not u.isascii():
                 continue
-            w = norm(u)
+            plain.add((r.doc_id, kind, k))
+            w = norm(u) if len(u) <= 5000 else []
             own = Counter(zip(w, w[1:]))
             best = max(((2 * sum((own & x).values()) / max(1, sum(own.values()) + sum(x.values())), name) for name, x in known), key=lambda b: b[0])
             if best[0] >= licences.DICE:
-                want.add((r.doc_id, k, round(best[0], 9)))
-    got = {(r.doc_id, r.unit, round(r.dice, 9)) for r in licences.licence_scan(docs).collect()}
-    plain = {(r.doc_id, k) for r in rows_of(docs) for k, u in [(-1, r.text or ""), *enumerate((r.text or "").split("\n"))] if u.isascii()}
-    assert want == {g for g in got if g[:2] in plain}
+                want.add((r.doc_id, kind, k, round(best[0], 9)))
+    got = {(r.doc_id, r.kind, r.unit, round(r.dice, 9)) for d in (docs, notices) for r in licences.licence_scan(d).collect()}
+    assert want == {g for g in got if g[:3] in plain} and len(want) >= 8
+
+
+def test_licence_files_and_wrapped_headers(notices):
+    got = defaultdict(set)
+    for r in licences.licence_scan(notices).collect():
+        got[r.doc_id].add((r.kind, r.licence))
+    assert ("text", "MIT") in got[900] and ("paragraph", "Apache-2.0") in got[901] and ("text", "BSD-3-Clause") in got[902]
+    assert {x for _, x in got[903]} == {"GPL-3.0"} and ("paragraph", "ISC") in got[904]
+    assert 905 not in got
+
+
+def test_no_templates(docs):
+    assert licences.licence_scan(docs, templates=[]).count() == 0
 
 
 def test_creative_commons_licences(shipped):
