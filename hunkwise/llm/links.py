@@ -8,10 +8,10 @@ bring like rows together.  What a partition's border cuts apart is looked at onc
 These bounds hold for one round only.  ``join_close`` verifies a round's pairs, joins what they link,
 and goes on with the buckets where something is left to look at: those that held more close rows than a
 row pairs with, and those longer than a row is held against.  Where all rows of such a bucket are joined
-by then, nothing can be added and it is dropped.  In the rest, only rows of different groups pair, twice
-as many a row as the round before; the rows of a long bucket stand in several orders, so that each has
-other rows before it.  The rounds end when nothing is left to look at, or with one in which less than
-``YIELD`` of the pairs verified are links.
+by then, nothing can be added and it is dropped.  In the rest, the rows outside a bucket's largest group
+pair with the closest ones of other groups on either side, twice as many a row as the round before; the
+rows of a long bucket stand in several orders, so that each has other rows beside it.  The rounds end
+when nothing is left to look at, or with one that adds less than ``YIELD`` of the links found before it.
 """
 
 from __future__ import annotations
@@ -32,38 +32,42 @@ PAIR, EDGE, OPEN, LONG = 0, 1, 2, 3
 Closeness = Callable[[pa.Table], Callable[[np.ndarray, np.ndarray], np.ndarray]]
 
 
-def near_rows(bucket: np.ndarray, score: Callable[[np.ndarray, np.ndarray], np.ndarray], skip: int = 0, most: int = BEST, lags: int = LAG) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def near_rows(bucket: np.ndarray, score: Callable[[np.ndarray, np.ndarray], np.ndarray], skip: int = 0, most: int = BEST, lags: int = LAG, seeks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, more): each sorted row i from ``skip`` on with the ``most`` closest rows j of the ``lags`` rows before it in its bucket; of equally close ones, the nearer.
 
-    ``more``: the rows that have other close ones among these.
+    ``more``: the rows that have other close ones among these.  With ``seeks``, only the rows it marks
+    have partners, and among the rows after them too.
     """
     n = len(bucket)
     start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if n else np.zeros(0, np.int64)
     place = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
-    # Score and nearness as one number: the larger, the better.
-    best = np.full((most if most < lags else 0, n), -1)
-    every, count = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], np.zeros(n, np.int64)
+    # Score, nearness and side as one number: the larger, the better.
+    best, count = np.full((most, n), -1), np.zeros(n, np.int64)
+
+    def offer(to: np.ndarray, new: np.ndarray) -> None:
+        count[to] += 1
+        for k in range(most):
+            old = best[k, to]
+            best[k, to], new = np.maximum(old, new), np.minimum(old, new)
+
     i = np.flatnonzero(place >= 1)
     i = i[i >= skip]
     for lag in range(1, lags + 1):
         i = i[place[i] >= lag]
         if not len(i):
             break
-        s = score(i, i - lag)
-        to, new = i[s >= 0], s[s >= 0] * (2 * lags) + lags - lag
-        if not len(to):
-            continue
-        if most >= lags:
-            every.append((to, to - lag))
-            continue
-        count[to] += 1
-        for k in range(min(most, lag)):
-            old = best[k, to]
-            best[k, to], new = np.maximum(old, new), np.minimum(old, new)
-    if most >= lags:
-        return *(np.concatenate(x) for x in zip(*every)), np.zeros(0, np.int64)
+        of = i if seeks is None else i[seeks[i] | seeks[i - lag]]
+        s = score(of, of - lag)
+        of, new = of[s >= 0], (s[s >= 0] * lags + lags - lag) * 2
+        if seeks is None:
+            offer(of, new)
+        else:
+            offer(of[seeks[of]], new[seeks[of]])
+            offer(of[seeks[of - lag]] - lag, new[seeks[of - lag]] + 1)
     k, at = np.nonzero(best >= 0)
-    return at, at - (lags - best[k, at] % (2 * lags)), np.flatnonzero(count > most)
+    code = best[k, at] % (2 * lags)
+    away = lags - code // 2
+    return at, np.where(code & 1, at + away, at - away), np.flatnonzero(count > most)
 
 
 def _scan(closeness: Closeness, names: list[str], most: int, lags: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -88,7 +92,8 @@ def _scan(closeness: Closeness, names: list[str], most: int, lags: int) -> Calla
             skip = tail.num_rows if tail is not None else 0
             whole = pa.concat_tables([tail, part]).combine_chunks() if skip else part.combine_chunks()
             bucket = whole.column("bucket").to_numpy()
-            i, j, more = near_rows(bucket, closeness(whole), skip, most, lags)
+            seeks = whole.column("seeks").to_numpy(zero_copy_only=False) if "seeks" in names else None
+            i, j, more = near_rows(bucket, closeness(whole), skip, most, lags, seeks)
             if len(i):
                 node = whole.column("node").to_numpy()
                 yield from rows(PAIR, None, np.minimum(node[i], node[j]), np.maximum(node[i], node[j]))
@@ -149,22 +154,25 @@ def join_close(rows: DataFrame, closeness: Closeness, verify: Callable[[DataFram
     order = [c for c in names if c != "node"]
     pairs, still = close_pairs(rows, closeness, most, lags)
     tested = cut(pairs.distinct(), "pairs")
-    joined = cut(components(cut(verify(tested), "links"), "a", "b"), "joined")
+    found = cut(verify(tested), "links")
+    links = found.count()
+    joined = cut(components(found, "a", "b"), "joined")
     if still.isEmpty():
         return joined
     again = cut(_mixed(rows.join(still, "bucket"), joined).select(*names, "long"), "again")
     rest = again.filter("not long").select(*names).unionByName(turned(again.filter("long").select(*names)).select(*names))
     while True:
         most = min(2 * most, lags)
-        rest = cut(_mixed(rest.select(*names), joined).select(*order, "group", "node"), "rest")
+        rest = cut(_mixed(rest.select(*names), joined).select(*order, "group", "seeks", "node"), "rest")
         pairs, _ = close_pairs(rest, _between(closeness), most, lags)
         pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         new = cut(verify(pairs), "links")
-        found = new.count()
-        if found:
+        more = new.count()
+        if more:
             joined = _merged(joined, new)
-        if found <= YIELD * pairs.count():
+        if more <= YIELD * links:
             return joined
+        links += more
         tested = cut(tested.unionByName(pairs), "tested")
 
 
@@ -181,10 +189,11 @@ def turn(sample: str, width: int, orders: int, to: str) -> Callable[[DataFrame],
 
 
 def _mixed(rows: DataFrame, joined: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several groups, with their ``group``."""
+    """The rows of buckets that hold several groups, with their ``group``, and whether they are outside the bucket's largest one (``seeks``)."""
     named = rows.join(joined.select(F.col("vertex").alias("node"), "component"), "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-    mixed = named.groupBy("bucket").agg(F.min("group").alias("x"), F.max("group").alias("y")).filter("x <> y").select("bucket")
-    return named.join(mixed, "bucket")
+    groups = named.groupBy("bucket", "group").agg(F.count("*").alias("n"))
+    mixed = groups.groupBy("bucket").agg(F.count("*").alias("n"), F.max_by("group", F.struct("n", "group")).alias("largest")).filter("n > 1").select("bucket", "largest")
+    return named.join(mixed, "bucket").withColumn("seeks", F.col("group") != F.col("largest")).drop("largest")
 
 
 def _merged(joined: DataFrame, links: DataFrame) -> DataFrame:

@@ -224,38 +224,45 @@ def bit_map(df: DataFrame, column: str, bits: int | None = None) -> np.ndarray:
 PART, GATHER = 1 << 20, 1 << 21
 
 
-def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], n: int) -> DataFrame:
-    """(hash): the 64-bit hashes that several of the rows have, of about n in all.
+def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], n: int) -> DataFrame:
+    """(hash): the 64-bit hashes that several owners have, of about n in all.
 
-    Hashes are dealt by range in packed blocks, each of which holds a hash of a task's rows twice at
-    most; so a part has as many as its range has different ones for each task, and no frequent one grows.
+    hashes: of a batch, arrays of hashes and of their owners.  Hashes are dealt by range in packed
+    blocks, each of which holds a hash of a task's rows with two owners at most; so a part has as many
+    as its range has different ones for each task, and no frequent one grows.
     """
     parts = max(1, -(-n // PART))
 
-    def pack(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h = np.sort(np.concatenate(own).view(U))
-        # Equal neighbours beyond the second say nothing new.
-        more = np.ones(len(h), bool)
-        more[2:] = (h[2:] != h[1:-1]) | (h[1:-1] != h[:-2])
-        h = h[more]
-        part = ((h >> U(32)) * U(parts)) >> U(32)
-        heads = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(h) else np.zeros(0, np.int64)
-        yield block_rows(part[heads].astype(np.int64), np.split(h, heads[1:]) if len(h) else [])
+    def few(own: list[np.ndarray]) -> np.ndarray:
+        """Sorted (hash, owner), each once, of a hash two owners at most."""
+        x = np.concatenate(own)
+        x = x[np.lexsort((x[:, 1], x[:, 0]))]
+        x = x[np.append(True, (x[1:] != x[:-1]).any(1))] if len(x) else x
+        again = x[1:, 0] == x[:-1, 0]
+        return x[~np.append(False, again & np.append(False, again[:-1]))] if len(x) else x
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, size = [], 0
+
+        def packed() -> pa.RecordBatch:
+            x = few(own)
+            part = ((x[:, 0] >> U(32)) * U(parts)) >> U(32)
+            heads = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(x) else np.zeros(0, np.int64)
+            return block_rows(part[heads].astype(np.int64), np.split(x, heads[1:]) if len(x) else [])
+
         for b in batches:
-            own.append(hashes(b))
-            size += len(own[-1])
-            if size >= GATHER:
-                yield from pack(own)
-                own, size = [], 0
+            for h, owner in hashes(b):
+                own.append(np.stack([h.view(U), owner.view(U)], 1))
+                size += len(h)
+                if size >= GATHER:
+                    yield packed()
+                    own, size = [], 0
         if own:
-            yield from pack(own)
+            yield packed()
 
     def twice(own: list[bytes]) -> pa.RecordBatch:
-        h = np.sort(np.concatenate([np.frombuffer(x, np.int64) for x in own]))
-        return pa.RecordBatch.from_arrays([pa.array(np.unique(h[1:][h[1:] == h[:-1]]))], ["hash"])
+        x = few([np.frombuffer(d, U).reshape(-1, 2) for d in own])[:, 0].view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(x[1:][x[1:] == x[:-1]]))], ["hash"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, []

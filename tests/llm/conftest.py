@@ -13,6 +13,13 @@ def shipped(spark):
     return ship(spark)
 
 
+@pytest.fixture
+def four_partitions(shipped):
+    shipped.conf.set("spark.sql.adaptive.enabled", "false")
+    yield shipped
+    shipped.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 @pytest.fixture(scope="session")
 def small(shipped):
     """The smallest documents."""

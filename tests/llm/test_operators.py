@@ -483,6 +483,73 @@ def test_near_passages(shipped):
     assert {(r.doc_id, r.start_word, r.end_word) for r in got} == {(1, 200, 290), (2, 30, 120), (3, 0, 90)}
 
 
+def test_passages_behind_a_common_phrase(shipped):
+    # Two texts share 50 words, 45 of which are a phrase that 30 others hold.
+    rng = np.random.default_rng(21)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**7, n)]
+    rows, pairs = [], []
+    for case in range(40):
+        phrase, d = word(45), 100 * case
+        left = int(rng.integers(0, 6))
+        shared = [*word(left), *phrase, *word(5 - left)]
+        both = sorted(rng.choice(32, 2, replace=False).tolist())
+        pairs.append((d + both[0], d + both[1]))
+        rows += [(d + k, " ".join([*word(int(rng.integers(20, 80))), *(shared if k in both else phrase), *word(int(rng.integers(20, 80)))])) for k in range(32)]
+    got = {(r.doc_id, r.match_id) for r in passages.repeated_passages(shipped.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(p in got for p in pairs)
+    assert found >= 36, found
+    assert all((b, a) in got for a, b in got)
+
+
+def test_near_passages_against_plain(shipped):
+    # Copies of passages with a word changed at random, among their own words; every text that shares one is found, no other.
+    rng = np.random.default_rng(23)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**7, n)]
+    rows, holds = [], set()
+    for case in range(60):
+        shared = word(int(rng.integers(60, 120)))
+        for k in range(int(rng.integers(1, 6))):
+            own = list(shared)
+            own[int(rng.integers(0, len(own)))] = "changed"
+            rows.append((10 * case + k, " ".join([*word(int(rng.integers(0, 200))), *own, *word(int(rng.integers(0, 200)))])))
+    tokens = {d: tv.Words(*tv.buffers(pa.array([t]))).windows(5)[1] for d, t in rows}
+    for d, x in tokens.items():
+        for e, y in tokens.items():
+            if d != e and d // 10 == e // 10 and passages.match(x, y, 46, 0.8):
+                holds |= {d, e}
+    got = passages.repeated_passages(shipped.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} <= holds and len({r.doc_id for r in got}) >= 0.95 * len(holds)
+    assert all(r.doc_id // 10 == r.match_id // 10 and r.similarity >= 0.8 for r in got)
+
+
+def test_neighbours_over_partitions(four_partitions):
+    spark = four_partitions
+    rng = np.random.default_rng(5)
+    rows = sorted({(int(rng.integers(0, 4)), int(rng.integers(0, 3)), int(rng.integers(0, 9)), int(c), 0, 0) for c in range(2000)})
+    schema = "g long, o long, tid long, c int, ext long, k int"
+    out = schema + ", l_tid long, l_c int, l_ext long"
+    df = spark.createDataFrame(rows, schema).repartition(3).repartitionByRange(*passages.ORDER).sortWithinPartitions(*passages.ORDER).mapInArrow(passages._scan, out)
+    edge = df.filter("l_tid is null").select(*passages.ORDER).distinct().repartition("g").sortWithinPartitions(*passages.ORDER).mapInArrow(passages._scan, out)
+    got = {(r.g, r.o, r.tid, r.c): (r.l_tid, r.l_c) for d in (df, edge) for r in d.filter("l_tid is not null").collect()}
+    want = {}
+    for i, r in enumerate(rows):
+        j = i - 1
+        while j >= 0 and rows[j][0] == r[0] and rows[j][2] == r[2]:
+            j -= 1
+        if j >= 0 and rows[j][0] == r[0]:
+            want[r[:4]] = (rows[j][2], rows[j][3])
+    assert got == want
+
+
+def test_texts_of_one_hash_stay_apart(shipped):
+    docs = shipped.createDataFrame([(k, f"text {k % 40}") for k in range(80)] + [(99, None), (100, "")], "doc_id long, text string")
+    got = passages.text_ids(docs, F.length(F.coalesce("text", F.lit(""))).cast("long")).collect()
+    ids = defaultdict(set)
+    for r in got:
+        ids[r.text].add(r.tid)
+    assert all(len(x) == 1 for x in ids.values()) and len(set.union(*ids.values())) == 41 and len(got) == 82
+
+
 @pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
 def test_stages_take_odd_documents(shipped, odd, none, k):
     name, stage = corpus_pipeline.STAGES[k]
