@@ -47,7 +47,7 @@ def relation(start: Column, end: Column, other_start: Column, other_end: Column)
     return F.when((start >= other_start) & (end <= other_end), "INCLUDE").when((start > other_end) | (end < other_start), "NOT_INCLUDE").otherwise("PARTLY_INCLUDE")
 
 
-def prototypes(types: DataFrame, members: DataFrame, depth: int = 32) -> DataFrame:
+def prototypes(types: DataFrame, members: DataFrame) -> DataFrame:
     """(type_id, rep) of types, built from the leaves up.
 
     types: type_id, kind (basic, subroutine, composite, derived), tag (array, pointer, const, volatile
@@ -55,7 +55,8 @@ def prototypes(types: DataFrame, members: DataFrame, depth: int = 32) -> DataFra
     not counted.  A named type is ``[name]`` (a composite's identifier first); a subroutine is its
     members in braces and their number; an array ``[...base]``; a nameless pointer, const or volatile
     ``[*base]``, ``[constbase]``, ``[volatilebase]``, with ``[void]`` for no base.  Types that refer to
-    themselves through nameless ones, or nest deeper than ``depth``, have no row.
+    themselves through nameless ones have no row.  Chains of pointers and the like may have any length;
+    subroutines that nest take a round for each level.
     """
     name = F.coalesce(F.when(F.col("kind") == "composite", F.nullif("identifier", F.lit(""))), F.nullif("name", F.lit("")))
     named = types.withColumn("label", F.when(F.col("kind") != "subroutine", name))
@@ -64,12 +65,12 @@ def prototypes(types: DataFrame, members: DataFrame, depth: int = 32) -> DataFra
     open_ = named.filter("label is null").withColumn("lead", lead)
     void = open_.filter("kind <> 'subroutine' and base_id is null and lead is not null and lead <> '...'")
     known = cut(known.unionByName(void.select("type_id", F.concat(F.lit("["), "lead", F.lit("[void]]")).alias("rep"))), "prototypes")
-    wraps = cut(open_.filter("kind <> 'subroutine' and base_id is not null and lead is not null").select("type_id", "lead", "base_id"), "wraps")
+    wraps = _unwound(open_.filter("kind <> 'subroutine' and base_id is not null and lead is not null").select("type_id", F.concat(F.lit("["), "lead").alias("before"), F.lit("]").alias("after"), "base_id"))
     calls = cut(open_.filter("kind = 'subroutine'").select("type_id"), "calls")
     parts = members.filter("member_id is not null")
-    for _ in range(depth):
+    while True:
         child = known.select(F.col("type_id").alias("base_id"), F.col("rep").alias("base"))
-        new = wraps.join(child, "base_id").select("type_id", F.concat(F.lit("["), "lead", "base", F.lit("]")).alias("rep"))
+        new = wraps.join(child, "base_id").select("type_id", F.concat("before", "base", "after").alias("rep"))
         each = calls.join(parts, "type_id", "left").join(known.select(F.col("type_id").alias("member_id"), F.col("rep").alias("base")), "member_id", "left")
         whole = each.groupBy("type_id").agg(
             F.count("member_id").alias("n"), F.count("base").alias("got"), F.array_sort(F.collect_list(F.when(F.col("base").isNotNull(), F.struct("seq", "base")))).alias("in_order")
@@ -77,9 +78,26 @@ def prototypes(types: DataFrame, members: DataFrame, depth: int = 32) -> DataFra
         rep = F.concat(F.lit("{"), F.array_join(F.transform("in_order", lambda x: x["base"]), ""), F.lit("}="), F.col("n").cast("string"))
         new = cut(new.unionByName(whole.select("type_id", rep.alias("rep"))).join(known, "type_id", "left_anti"), "prototypes")
         if new.isEmpty():
+            return known
+        known = cut(known.unionByName(new), "prototypes")
+
+
+def _unwound(wraps: DataFrame) -> DataFrame:
+    """(type_id, before, after, base_id) with bases that wrap nothing, what stands around them joined; what leads into a circle is left out."""
+    wraps = cut(wraps, "wraps")
+    inner = lambda rows, *more: rows.select(F.col("type_id").alias("base_id"), F.col("base_id").alias("next"), *more)
+    ends = wraps.select("type_id", "base_id")
+    for _ in range(wraps.count().bit_length() + 1):  # each round doubles the reach; what wraps something still goes round
+        ends = cut(ends.join(inner(ends), "base_id", "left").select("type_id", F.coalesce("next", "base_id").alias("base_id")), "ends")
+        round_ = ends.join(wraps.select(F.col("type_id").alias("base_id")), "base_id", "left_semi")
+        if round_.isEmpty():
             break
-        known = known.unionByName(new)
-    return known
+    wraps = cut(wraps.join(round_.select("type_id"), "type_id", "left_anti"), "wraps")
+    while True:
+        both = wraps.join(inner(wraps, F.col("before").alias("b"), F.col("after").alias("a")), "base_id", "left")
+        if both.filter("next is not null").isEmpty():
+            return wraps
+        wraps = cut(both.select("type_id", F.concat("before", F.coalesce("b", F.lit(""))).alias("before"), F.concat(F.coalesce("a", F.lit("")), "after").alias("after"), F.coalesce("next", "base_id").alias("base_id")), "wraps")
 
 
 def function_prototypes(functions: DataFrame, reps: DataFrame) -> DataFrame:

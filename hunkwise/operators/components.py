@@ -12,19 +12,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from hunkwise.session import cut, ship
 
-#: Different edges that one task joins: 32 MB of numbers.
+#: Different edges that one task joins: 32 MB of numbers, or some 200 MB of short names.
 SMALL = 1 << 21
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(vertex, component) of all edges (v, m) together: every vertex takes its neighbours' least label, and then its label's, until none changes."""
-    parts = [np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]) for b in batches]
-    names, ends = np.unique(np.concatenate(parts, 1) if parts else np.zeros((2, 0), np.int64), return_inverse=True)
-    v, m = ends.reshape(2, -1)
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    kind = parts[0].schema.types[0]
+    ends = [pa.chunked_array([b.column(k) for b in parts], kind).combine_chunks() for k in (0, 1)]
+    names = pc.unique(pa.concat_arrays(ends))
+    names = names.take(pc.sort_indices(names))
+    v, m = (pc.index_in(x, names).to_numpy(zero_copy_only=False) for x in ends)
     label = np.arange(len(names))
     while True:
         low = np.minimum(label[v], label[m])
@@ -37,7 +43,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (new == label).all():
             break
         label = new
-    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[label])], ["vertex", "component"])
+    yield pa.RecordBatch.from_arrays([names, names.take(pa.array(label))], ["vertex", "component"])
 
 
 def _forest(edges: DataFrame) -> bool:
@@ -54,9 +60,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     e = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).filter("v is not null and m is not null and v <> m").distinct()
     e = cut(e, "edges")
-    if e.count() <= SMALL and all(t == "bigint" for _, t in e.dtypes):
+    if e.count() <= SMALL:
         ship(e.sparkSession)
-        return cut(e.coalesce(1).mapInArrow(_joined, "vertex long, component long"), "components")
+        kind = e.schema["v"].dataType.simpleString()
+        return cut(e.coalesce(1).mapInArrow(_joined, f"vertex {kind}, component {kind}"), "components")
     while not _forest(e):
         both = e.unionByName(e.select(F.col("m").alias("v"), F.col("v").alias("m")))
         low = both.groupBy("v").agg(F.min(F.least("v", "m")).alias("low"))

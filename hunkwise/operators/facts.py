@@ -84,18 +84,19 @@ def callee_links(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     return inside, by_name
 
 
-def resolve_types(types: DataFrame, depth: int = 64) -> DataFrame:
+def resolve_types(types: DataFrame) -> DataFrame:
     """(type_id, base): the type that stands for each type in dependencies; those without one have no row.
 
     types: type_id, kind (basic, string, subroutine, composite, derived), tag (typedef or other),
     base_id, inside (in the project), is_decl.  Subroutines stand for themselves, composites too if
     inside and no forward declaration, typedefs if inside; other derived types inside stand for what
-    their base stands for.  Chains longer than ``depth`` and circles end without a type.
+    their base stands for, however long the chain is.  Circles have no type that they stand for.
     """
     own = (F.col("kind") == "subroutine") | ((F.col("kind") == "composite") & F.col("inside") & ~F.col("is_decl")) | ((F.col("kind") == "derived") & F.col("inside") & (F.col("tag") == "typedef"))
     done = cut(types.filter(own).select("type_id", F.col("type_id").alias("base")), "types")
     chase = cut(types.filter((F.col("kind") == "derived") & F.col("inside") & (F.col("tag") != "typedef") & F.col("base_id").isNotNull()).select("type_id", "base_id"), "chase")
-    for _ in range(max(1, depth.bit_length())):  # each round doubles the reach
+    # Each round doubles the reach; what is left when it exceeds the number of types goes round.
+    for _ in range(chase.count().bit_length() + 1):
         done = cut(done.unionByName(chase.join(done.select(F.col("type_id").alias("base_id"), "base"), "base_id").select("type_id", "base")).distinct(), "types")
         chase = chase.join(done.select("type_id"), "type_id", "left_anti")
         chase = cut(chase.join(chase.select(F.col("type_id").alias("base_id"), F.col("base_id").alias("next")), "base_id", "left").select("type_id", F.coalesce("next", "base_id").alias("base_id")), "chase")
@@ -104,24 +105,23 @@ def resolve_types(types: DataFrame, depth: int = 64) -> DataFrame:
     return done
 
 
-def flatten_types(types: DataFrame, members: DataFrame, depth: int = 32) -> DataFrame:
+def flatten_types(types: DataFrame, members: DataFrame) -> DataFrame:
     """(type_id, leaf): a subroutine's or nameless composite's members, resolved, down to named types.
 
-    A type that is neither stands for its resolved self.  members: type_id, member_id.
+    A type that is neither stands for its resolved self.  members: type_id, member_id.  Types may nest
+    to any depth and hold each other.
     """
     base = cut(resolve_types(types), "resolved")
     open_ = types.filter((F.col("kind") == "subroutine") | ((F.col("kind") == "composite") & (F.coalesce("name", F.lit("")) == "") & (F.coalesce("identifier", F.lit("")) == ""))).select(F.col("type_id").alias("base"))
-    step = cut(members.join(base.withColumnRenamed("type_id", "member_id").withColumnRenamed("base", "next"), "member_id").select(F.col("type_id").alias("base"), "next").distinct(), "members")
-    front, out = base, base.join(open_, "base", "left_anti").select("type_id", F.col("base").alias("leaf"))
-    seen = front
-    for _ in range(depth):
-        front = front.join(open_, "base", "left_semi").join(step, "base").select("type_id", F.col("next").alias("base")).distinct()
-        front = cut(front.join(seen, ["type_id", "base"], "left_anti"), "front")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-        out = out.unionByName(front.join(open_, "base", "left_anti").select("type_id", F.col("base").alias("leaf")))
-    return out.distinct()
+    step = members.join(base.withColumnRenamed("type_id", "member_id").withColumnRenamed("base", "next"), "member_id").select(F.col("type_id").alias("base"), "next").join(open_, "base", "left_semi")
+    reach = cut(step.distinct(), "reach")
+    n, before = reach.count(), -1
+    while n != before:  # each round doubles the depth; pairs are finite, so circles end it too
+        further = reach.join(reach.select(F.col("base").alias("next"), F.col("next").alias("leaf")), "next").select("base", F.col("leaf").alias("next"))
+        reach = cut(reach.unionByName(further).distinct(), "reach", instead=reach)
+        n, before = reach.count(), n
+    every = base.select("type_id", F.col("base").alias("leaf")).unionByName(base.join(reach, "base").select("type_id", F.col("next").alias("leaf")))
+    return every.join(open_.withColumnRenamed("base", "leaf"), "leaf", "left_anti").select("type_id", "leaf").distinct()
 
 
 def type_edges(uses: DataFrame, flat: DataFrame, keys: DataFrame, dep_kind: str) -> DataFrame:

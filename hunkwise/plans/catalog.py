@@ -57,8 +57,8 @@ dcb AS (
   SELECT 'A' AS variant, file, dcb_id, diff_type, start_a AS h_start, len_a AS h_len FROM dcb
   UNION ALL SELECT 'B', file, dcb_id, diff_type, start_b, len_b FROM dcb
 ), deps AS (
-  SELECT DISTINCT l_orderkey AS src_key, (l_orderkey // 100) * 100 + (l_orderkey % 100 + 97 + l_partkey % 7) % 100 AS dst_key
-  FROM lineitem WHERE (l_partkey + l_suppkey) % 8 = 0 AND l_partkey % 7 <> 3
+  SELECT DISTINCT l_orderkey AS src_key, (l_orderkey // 100) * 100 + (l_orderkey % 100 + 97 + CASE WHEN (l_partkey + l_suppkey) % 8 = 0 THEN l_partkey % 7 ELSE 3 END) % 100 AS dst_key
+  FROM lineitem
 ), lines AS (
   SELECT variant, file, line, arg_max(node_key, paint_seq) AS node_key
   FROM (SELECT variant, file, node_key, paint_seq, unnest(generate_series(start, "end")) AS line FROM nodes) GROUP BY ALL
@@ -186,8 +186,8 @@ def module_merge(spark, sf_dir):
 
 
 @query("""SELECT ['func_type_proto', 'func_type_body', 'func_gvar', 'func_func', 'type_type', 'gvar_type'][l_linenumber % 6 + 1] AS dep_kind,
-  count(DISTINCT (l_orderkey, (l_orderkey // 100) * 100 + (l_orderkey % 100 + 97 + l_partkey % 7) % 100)) AS n
-  FROM lineitem WHERE (l_partkey + l_suppkey) % 8 = 0 AND l_partkey % 7 <> 3 GROUP BY 1""")
+  count(DISTINCT (l_orderkey, (l_orderkey // 100) * 100 + (l_orderkey % 100 + 97 + CASE WHEN (l_partkey + l_suppkey) % 8 = 0 THEN l_partkey % 7 ELSE 3 END) % 100)) AS n
+  FROM lineitem GROUP BY 1""")
 def dep_union(spark, sf_dir):
     return facts.merge_edges(standin.module_deps(spark, sf_dir).filter("variant = 'A'")).groupBy("dep_kind").agg(F.count("*").alias("n"))
 
@@ -283,7 +283,29 @@ def topo_depth(spark, sf_dir):
     return analysis.suggest(a, hunks).order.select("vertex", "depth")
 
 
-@query()
+_ONES = """ones AS (SELECT unit AS vertex FROM kept WHERE unit NOT IN (SELECT vertex FROM scc) UNION SELECT scc FROM scc),
+down AS (SELECT vertex, 0 AS d FROM ones UNION SELECT c.dst, d + 1 FROM down JOIN condensed c ON c.src = down.vertex),
+deep AS (SELECT vertex, max(d) AS depth FROM down GROUP BY vertex),
+both_ways AS (SELECT src, dst FROM condensed UNION SELECT dst, src FROM condensed),
+walk AS (SELECT src AS v, src AS w FROM both_ways UNION SELECT walk.v, dst FROM walk JOIN both_ways ON src = walk.w),
+placed AS (
+  SELECT coalesce(s.scc, k.unit) AS vertex, arg_min(u.file || '|' || lpad(CAST(u.start AS VARCHAR), 12, '0'), (CAST(u.file AS BIGINT), u.start)) AS key
+  FROM kept k LEFT JOIN scc s ON s.vertex = k.unit JOIN sub u ON u.sub_id = coalesce(k.ka, k.kb) GROUP BY 1
+), tasks AS (
+  SELECT p.vertex, p.key, d.depth, coalesce(c.component, p.vertex) AS component
+  FROM placed p JOIN deep d USING (vertex) LEFT JOIN (SELECT v, min(w) AS component FROM walk GROUP BY v) c ON c.v = p.vertex
+), layers AS (SELECT component, depth, sum(count(*)) OVER (PARTITION BY component ORDER BY depth) - count(*) AS before FROM tasks GROUP BY ALL),
+-- A queue empties layer by layer of the longest path; in a layer, by the turn of the last one that was needed, then by key.
+turns AS (
+  SELECT component, vertex, 0 AS depth, CAST(0 AS BIGINT) AS rank, row_number() OVER (PARTITION BY component ORDER BY key, vertex) - 1 AS pop FROM tasks WHERE depth = 0
+  UNION ALL
+  SELECT n.component, n.vertex, n.depth, n.rank, l.before + row_number() OVER (PARTITION BY n.component ORDER BY n.rank, n.key, n.vertex) - 1
+  FROM (SELECT t.component, t.vertex, t.key, t.depth, max(r.pop) + 1 AS rank FROM turns r JOIN condensed c ON c.src = r.vertex JOIN tasks t ON t.vertex = c.dst AND t.depth = r.depth + 1 GROUP BY ALL) n
+  JOIN layers l ON l.component = n.component AND l.depth = n.depth
+)"""
+
+
+@query(_with("SELECT vertex, component, CAST(rank AS BIGINT) AS rank, CAST(pop AS BIGINT) AS pop FROM turns", f"{_REACH}, {_ONES}"))
 def topo_rank(spark, sf_dir):
     a, hunks = _analysis(spark, sf_dir)
     return analysis.suggest(a, hunks).order.select("vertex", "component", "rank", "pop")
@@ -311,10 +333,32 @@ def group_report(spark, sf_dir):
     return analysis.suggest(a, hunks).items.groupBy("component", "scc", "scc_size").agg(F.count("*").alias("n_items"))
 
 
-@query()
+_LINES = f"""{_REACH}, {_ONES}, {_HIT},
+each AS (
+  SELECT k.unit, k.diff_type, k.ka, k.kb, t.vertex AS scc, t.component, r.rank, r.pop, coalesce(a.file, b.file) AS file, coalesce(a.start, b.start) AS at,
+         count(*) OVER (PARTITION BY t.vertex) AS scc_size, h.start_a, h.start_a + h.len_a - 1 AS end_a, h.start_b, h.start_b + h.len_b - 1 AS end_b, h.dcb_id,
+         a.start AS a0, a."end" AS a1, b.start AS b0, b."end" AS b1
+  FROM kept k LEFT JOIN scc s ON s.vertex = k.unit JOIN tasks t ON t.vertex = coalesce(s.scc, k.unit) JOIN turns r ON r.vertex = t.vertex
+  LEFT JOIN sub a ON a.sub_id = k.ka LEFT JOIN sub b ON b.sub_id = k.kb JOIN dcb h ON h.dcb_id = coalesce(a.dcb_id, b.dcb_id)
+), first AS (SELECT component, min((file, at, unit)) AS place FROM each GROUP BY component),
+item AS (
+  SELECT e.*, dense_rank() OVER (ORDER BY f.place) - 1 AS group_id, dense_rank() OVER (PARTITION BY e.component ORDER BY pop DESC) - 1 AS scc_seq,
+         row_number() OVER (PARTITION BY scc ORDER BY file, at, e.unit) - 1 AS item_seq,
+         CASE diff_type WHEN '+' THEN 'Apply A' WHEN '-' THEN 'Apply B' ELSE 'Conflict' END AS said
+  FROM each e JOIN first f USING (component) WHERE e.unit IN (SELECT unit FROM hit)
+)"""
+
+
+@query(_with("""SELECT group_id, scc_seq, rank, scc_size, item_seq, CASE
+  WHEN ka IS NOT NULL AND kb IS NOT NULL THEN format('        [output] CB Type: {}, filepath = {}, change({}, {}) in DCB_A({}, {}) >>>>> change({}, {}) in DCB_B({}, {})', said, file, a0, a1, start_a, end_a, b0, b1, start_b, end_b)
+  WHEN ka IS NOT NULL THEN format('        [output] CB Type: {}, filepath = {}, change({}, {})  in DCB_A({}, {}) >>>>> DCB_B({}, {})', said, file, a0, a1, start_a, end_a, start_b, end_b)
+  ELSE format('        [output] CB Type: {} filepath = {}, DCB_A({}, {}) >>>>> change({}, {}) in DCB_B({}, {})', said, file, start_a, end_a, b0, b1, start_b, end_b) END AS line FROM item
+UNION ALL SELECT DISTINCT group_id, scc_seq, rank, scc_size, -1, format('    [output] Rank -> {}, Scc has {} items', rank, scc_size) FROM item
+UNION ALL SELECT DISTINCT group_id, -1, -1, -1, -1, format('[output] Group {}', group_id) FROM item""", _LINES))
 def report_lines(spark, sf_dir):
     a, hunks = _analysis(spark, sf_dir)
-    return analysis.suggest(a, hunks).lines
+    out = analysis.suggest(a, hunks).lines
+    return out.select(*(F.col(c).cast("long").alias(c) for c in ("group_id", "scc_seq", "rank", "scc_size", "item_seq")), "line")
 
 
 @query("""WITH n AS (SELECT o_orderkey AS node_key, o_orderkey // 100 AS file, ['func', 'gvar', 'type'][o_orderkey % 3 + 1] AS kind, 'sym_' || o_orderkey AS name,
@@ -351,11 +395,13 @@ def path_normalize(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", paths.normalised(F.concat(F.lit("a/./b/../"), raw, tail)).alias("path"))
 
 
-@query(f"""SELECT page_id, CASE WHEN starts_with('/' || {_MESSY}, '/' || split_part({_MESSY}, '/', 1) || '/') AND page_id % 2 = 0 THEN substr('/' || {_MESSY}, length('/' || split_part({_MESSY}, '/', 1) || '/') + 1) END AS file
-FROM pages WHERE {_MESSY} LIKE 'th%.example.com/%' AND {_MESSY} NOT LIKE '%//%' AND {_MESSY} NOT LIKE '%/'""")
+@query(f"""WITH RECURSIVE p AS (SELECT page_id, string_split(CASE WHEN page_id % 2 = 0 THEN 'r/' || substr({_MESSY}, length(split_part({_MESSY}, '/', 1)) + 2) ELSE 'other/' || {_MESSY} END, '/') AS parts FROM pages),
+w AS (SELECT page_id, parts, 1 AS i, CAST([] AS VARCHAR[]) AS acc FROM p
+  UNION ALL SELECT page_id, parts, i + 1, CASE WHEN parts[i] IN ('', '.') THEN acc WHEN parts[i] = '..' THEN acc[1:greatest(len(acc) - 1, 0)] WHEN parts[i] = '...' THEN acc[1:greatest(len(acc) - 2, 0)] ELSE list_append(acc, parts[i]) END
+  FROM w WHERE i <= len(parts))
+SELECT page_id, CASE WHEN acc[1] = 'r' AND len(acc) > 1 THEN array_to_string(acc[2:], '/') END AS file FROM w WHERE i > len(parts)""")
 def path_base(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("path"))
-    p = p.filter("path like 'th%.example.com/%' and path not like '%//%' and path not like '%/'")
     host = F.substring_index("path", "/", 1)
     moved = p.select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/r/"), F.substring(F.col("path"), F.length(host) + 2, F.lit(1 << 20)))).otherwise(F.concat(F.lit("/other/"), "path")).alias("path"))
     return moved.select("page_id", paths.base_path(F.col("path"), F.lit(None).cast("string"), "/r").alias("file"))
@@ -371,11 +417,11 @@ def suffix_filter(spark, sf_dir):
 
 @query(_with("""SELECT h.dcb_id, n.node_key, CASE WHEN h.h_start >= n.start AND h.h_start + h.h_len - 1 <= n."end" THEN 'INCLUDE'
   WHEN h.h_start > n."end" OR h.h_start + h.h_len - 1 < n.start THEN 'NOT_INCLUDE' ELSE 'PARTLY_INCLUDE' END AS relation
-FROM sides h JOIN nodes n ON n.file = h.file AND n.variant = h.variant WHERE h.variant = 'A' AND n.node_key % 10 = h.dcb_id % 10"""))
+FROM sides h JOIN nodes n ON n.file = h.file AND n.variant = h.variant WHERE h.variant = 'A'"""))
 def interval_relation(spark, sf_dir):
-    h = intervals.hunk_sides(standin.hunks(spark, sf_dir)).filter("variant = 'A'").withColumn("m", F.col("dcb_id") % 10)
-    n = standin.nodes(spark, sf_dir).filter("variant = 'A'").select("file", "node_key", F.col("start").alias("s"), F.col("end").alias("e"), (F.col("node_key") % 10).alias("m"))
-    return h.join(n, ["file", "m"]).select("dcb_id", "node_key", names.relation(F.col("h_start"), F.col("h_end"), F.col("s"), F.col("e")).alias("relation"))
+    h = intervals.hunk_sides(standin.hunks(spark, sf_dir)).filter("variant = 'A'")
+    n = standin.nodes(spark, sf_dir).filter("variant = 'A'").select("file", "node_key", F.col("start").alias("s"), F.col("end").alias("e"))
+    return h.join(n, "file").select("dcb_id", "node_key", names.relation(F.col("h_start"), F.col("h_end"), F.col("s"), F.col("e")).alias("relation"))
 
 
 @query("""SELECT count(*) AS n, round(avg(d), 4) AS mean_diff, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 4) AS t
@@ -463,8 +509,8 @@ types AS (
     p_partkey % 13 <> 0 AS inside, p_partkey % 17 = 0 AS is_decl
   FROM part
 ), members AS (
-  SELECT p_partkey AS id, 0 AS seq, CASE WHEN p_partkey % 10 <> 0 THEN p_partkey // 3 END AS member FROM part WHERE p_partkey > 3 AND p_partkey % 7 IN (1, 2)
-  UNION ALL SELECT p_partkey, 1, p_partkey // 3 + 1 FROM part WHERE p_partkey > 3 AND p_partkey % 7 IN (1, 2)
+  SELECT id, 0 AS seq, CASE WHEN id % 10 <> 0 AND id > 3 THEN id // 3 END AS member FROM types WHERE kind IN ('subroutine', 'composite')
+  UNION ALL SELECT id, 1, CASE WHEN id > 3 THEN id // 3 + 1 END FROM types WHERE kind IN ('subroutine', 'composite')
 ), resolved AS (
   SELECT id, id AS base FROM types WHERE kind = 'subroutine' OR (kind = 'composite' AND inside AND NOT is_decl) OR (kind = 'derived' AND inside AND tag = 'typedef')
   UNION ALL SELECT t.id, r.base FROM types t JOIN resolved r ON r.id = t.base WHERE t.kind = 'derived' AND t.inside AND t.tag <> 'typedef'
@@ -589,3 +635,69 @@ def truth_blocks(spark, sf_dir):
     line = F.when(p % 20 == 0, F.format_string("f%d", F.expr("p_partkey div 20"))).otherwise(block)
     lines = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lit("g").alias("path"), p.alias("line_no"), line.alias("line"))
     return text.parse_truth(lines).select("line_no", "file", "diff_type", "start_a", "len_a", "start_b", "len_b")
+
+
+@query("""SELECT page_id, substr('/' || CASE WHEN page_id % 2 = 0 THEN 'r/' ELSE '' END || 'f' || page_id % 40, 4) AS file FROM pages WHERE page_id % 2 = 0 AND page_id % 40 < 20""")
+def project_files(spark, sf_dir):
+    """Pages as sources, below the root or beside it; half of the files were modified."""
+    k = F.col("page_id")
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select(k, F.format_string("x/../f%d", k % 40).alias("path"), F.when(k % 2 == 0, "/r").otherwise("/other").alias("folder"))
+    modified = rows.select(F.format_string("f%d", k % 40).alias("file"), (k % 40).alias("n")).filter("n < 20")
+    return paths.in_project(rows, modified, "/r").select("page_id", "file")
+
+
+@query("SELECT 'dir/f ' || p_partkey || '.c' AS file FROM part WHERE p_size % 5 = 0")
+def unmerged_files(spark, sf_dir):
+    p, s = F.col("p_partkey"), F.col("p_size")
+    code = F.element_at(F.array(*map(F.lit, ("UU", " M", "AA", "UD", "??"))), (s % 5 + 1).cast("int"))
+    lines = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.format_string("%s dir/f %d.c", code, p).alias("line"))
+    return text.unmerged(lines)
+
+
+@query("""SELECT c_custkey AS customer, CASE WHEN c_custkey % 3 = 0 THEN 'abcdef' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') || '_' || '0123456' END AS pair,
+  CASE WHEN c_custkey % 3 = 0 THEN 'abcdef' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') END AS a FROM customer""")
+def dataset_folders(spark, sf_dir):
+    """Folders of a data set: two commits joined by an underscore, or something else."""
+    k = F.col("c_custkey")
+    folder = F.when(k % 3 == 0, F.format_string("abcdef%07d_0123456", k)).when(k % 3 == 1, F.format_string("abc_%d", k)).otherwise(F.format_string("abcdef%07dx_0123456", k))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("customer"), text.pair_of(F.concat(F.lit("/data/set/"), folder, F.lit("/va/x.txt"))).alias("pair"))
+    return rows.select("customer", "pair", text.commits_of(F.col("pair"))[0].alias("a"))
+
+
+@query("SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) || '.parquet' AS name")
+def listed_files(spark, sf_dir):
+    """The names of a folder's table files."""
+    found = text.list_files(spark, sf_dir).select("path", F.regexp_extract("path", r"([^/]+\.parquet)(?:/|$)", 1).alias("name"))
+    return found.filter("name <> ''").select("name").distinct()
+
+
+_FAST = """
+f AS (SELECT p_partkey AS k, p_partkey % 200 AS header_seq, 'f' || p_partkey AS file, p_size, CASE WHEN p_size % 3 = 0 THEN 'A' WHEN p_size % 3 = 1 THEN 'B' END AS fast FROM part)"""
+
+
+@query(f"""WITH {_FAST}
+SELECT file, '#' AS diff_type, CAST(1 AS INT) AS start_a, CAST(p_size AS INT) AS len_a, CAST(2 AS INT) AS start_b, CAST(p_size AS INT) AS len_b FROM f WHERE fast IS NULL
+UNION ALL SELECT file, CASE fast WHEN 'A' THEN '+' ELSE '-' END, CAST(k % 30 + i AS INT), CAST(i AS INT), CAST(k % 40 AS INT), CAST(3 AS INT) FROM f CROSS JOIN (SELECT unnest([1, 2]) AS i) WHERE fast IS NOT NULL""")
+def fast_merged_diffs(spark, sf_dir):
+    """Hunks of files merged without conflict come from their diffs."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    one = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lit("x").alias("path"), k.alias("k"), k.cast("int").alias("header_seq"), F.format_string("f%d", k).alias("file"), F.when(size % 3 == 0, "A").when(size % 3 == 1, "B").alias("fast_merged"), size.cast("int").alias("size"))
+    files = one.select("path", "header_seq", "file", F.lit(9).alias("lines_a"), F.lit(9).alias("lines_b"), "fast_merged")
+    own = one.filter("fast_merged is null").select("path", "header_seq", "file", "fast_merged", F.lit(1).alias("hunk_seq"), F.lit("#").alias("diff_type"), F.lit(1).alias("start_a"), F.col("size").alias("len_a"), F.lit(2).alias("start_b"), F.col("size").alias("len_b"))
+    i = F.explode(F.array(F.lit(1), F.lit(2))).alias("line_no")
+    diffs = one.select("path", "file", "k", i).select("path", "file", "line_no", (F.col("k") % 30 + F.col("line_no")).cast("int").alias("start_a"), F.col("line_no").alias("len_a"), (F.col("k") % 40).cast("int").alias("start_b"), F.lit(3).alias("len_b"))
+    return sinks.with_diffs(files, own, diffs)[1].select("file", "diff_type", "start_a", "len_a", "start_b", "len_b")
+
+
+@query("""WITH m AS (SELECT c_custkey AS n, 'f' || c_custkey AS file, c_custkey % 90 AS a, c_custkey % 70 AS b, CASE WHEN c_nationkey % 2 = 0 THEN '+' ELSE '-' END AS kind FROM customer)
+SELECT CAST(0 AS INT) AS part, n AS line_no, CAST(0 AS INT) AS k, '@ ' || file || ', ' || a || ', ' || b AS line FROM m
+UNION ALL SELECT 0, n, 1, kind || ' 1, ' || a || ', = ,1, ' || b FROM m
+UNION ALL SELECT 1, s_suppkey, 0, '# 1, ' || s_suppkey || ', = ,2, 3' FROM supplier""")
+def prepended_lines(spark, sf_dir):
+    """Whole-file hunks stand before the lines that a hunk file had."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    key = F.col("c_custkey")
+    merged = c.select(F.lit("l").alias("path"), key.alias("line_no"), F.concat(F.lit("f"), key.cast("string"), F.lit(" --- "), F.when(F.col("c_nationkey") % 2 == 0, "A").otherwise("B")).alias("line"))
+    counted = c.select(key.alias("line_no"), F.format_string("f%d, %d, %d", key, key % 90, key % 70).alias("line"))
+    before = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("line_no"), F.format_string("# 1, %d, = ,2, 3", "s_suppkey").alias("line"))
+    return sinks.prepended(sinks.whole_file_hunks(text.parse_direct_merges(merged), text.parse_line_counts(counted)), before)

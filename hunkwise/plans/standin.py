@@ -49,9 +49,12 @@ def hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def module_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pair_id, variant, module_id, src_key, dst_key, dep_kind: with repeats over modules, the same for both variants."""
-    src, step = F.col("l_orderkey"), F.col("l_partkey") % 7
-    rows = _table(spark, sf_dir, "lineitem").filter("(l_partkey + l_suppkey) % 8 = 0 and l_partkey % 7 <> 3")
+    """pair_id, variant, module_id, src_key, dst_key, dep_kind: with repeats over modules, the same for both variants.
+
+    Every lineitem is one; most are of a definition on itself, so that the graph falls into many parts.
+    """
+    src, step = F.col("l_orderkey"), F.when((F.col("l_partkey") + F.col("l_suppkey")) % 8 == 0, F.col("l_partkey") % 7).otherwise(3)
+    rows = _table(spark, sf_dir, "lineitem")
     dst = F.expr("l_orderkey div 100") * 100 + (src % 100 + 97 + step) % 100
     kind = _pick(("func_type_proto", "func_type_body", "func_gvar", "func_func", "type_type", "gvar_type"), F.col("l_linenumber") % 6)
     rows = rows.select(F.lit(PAIR).alias("pair_id"), F.col("l_linenumber").cast("long").alias("module_id"), src.alias("src_key"), dst.alias("dst_key"), kind.alias("dep_kind"))
@@ -100,11 +103,11 @@ def types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """type_id, seq, member_id of subroutines and composites: two types of about a third of their number, one of them null at times."""
-    p = F.col("p_partkey")
-    rows = _table(spark, sf_dir, "part").filter("p_partkey > 3 and p_partkey % 7 in (1, 2)")
-    third = F.expr("p_partkey div 3")
-    return rows.select(p.alias("type_id"), F.posexplode(F.array(F.when(p % 10 != 0, third), third + 1)).alias("seq", "member_id"))
+    """type_id, seq, member_id of all subroutines and composites: two types of about a third of their number, null at times."""
+    p = F.col("type_id")
+    third = F.when(p > 3, F.expr("type_id div 3"))
+    rows = types(spark, sf_dir).filter(F.col("kind").isin("subroutine", "composite"))
+    return rows.select(p, F.posexplode(F.array(F.when(p % 10 != 0, third), third + 1)).alias("seq", "member_id"))
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:

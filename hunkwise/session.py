@@ -51,11 +51,14 @@ def ship(spark: SparkSession) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where the setting is missing, as in tests on one machine.
+    A folder of our own is made only where the setting is missing and all executors are on this machine,
+    as in tests; elsewhere that is an error, as other machines would not see the folder.
     """
     app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         _SCRATCH[app] = f"{root or tempfile.mkdtemp(prefix='hunkwise-')}/hunkwise-{uuid.uuid4().hex}"
         atexit.register(_drop, spark, _SCRATCH[app])
     return _SCRATCH[app]

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from hunkwise.functions import names
 from hunkwise.operators import components, cycles, facts, hunkgraph, intervals, report, violation
 from hunkwise.plans import analysis, standin
 
@@ -167,7 +168,9 @@ def closure(edges):
 
 
 @pytest.mark.parametrize("largest", [10**6, 0])
-def test_components_on_random_graphs(spark, largest):
+def test_components_on_random_graphs(spark, largest, monkeypatch):
+    if not largest:
+        monkeypatch.setattr(components, "SMALL", 0)
     r = random.Random(4)
     names = [f"v{k:02}" for k in range(60)]
     edges = {(r.choice(names[:40]), r.choice(names[:40])) for _ in range(45)} | {(a, b) for a, b in zip(names[40:], names[41:])} | {("v59", "v40"), ("v10", "v10")}
@@ -227,6 +230,20 @@ def test_types(spark):
     assert {(r.dst_key, r.dep_kind) for r in facts.type_edges(uses, flat, keys, "func_type_proto").collect()} == {("tx", "func_type_proto"), ("tt", "func_type_proto")}
 
 
+def test_types_nest_to_any_depth(spark):
+    # A chain of 300 pointers, 200 nameless composites that hold each other, a circle of three, and what leads into it.
+    rows = [(0, "composite", "X", None)] + [(k, "derived", None, k - 1) for k in range(1, 301)] + [(k, "composite", None, None) for k in range(1000, 1200)]
+    rows += [(2000 + k, "derived", None, 2000 + (k + 1) % 3) for k in range(3)] + [(2003, "derived", None, 2000)]
+    types = spark.createDataFrame([(i, kind, "pointer" if kind == "derived" else None, name, None, base, True, False) for i, kind, name, base in rows], "type_id long, kind string, tag string, name string, identifier string, base_id long, inside boolean, is_decl boolean")
+    base = {r.type_id: r.base for r in facts.resolve_types(types).collect()}
+    assert base == {k: 0 for k in range(301)} | {k: k for k in range(1000, 1200)}
+    members = spark.createDataFrame([(k, k + 1) for k in range(1000, 1199)] + [(1199, 300), (1199, 1000)], "type_id long, member_id long")
+    assert {(r.type_id, r.leaf) for r in facts.flatten_types(types, members).collect()} == {(k, 0) for k in base}
+    calls = members.selectExpr("type_id", "cast(0 as int) as seq", "member_id").limit(0)
+    reps = {r.type_id: r.rep for r in names.prototypes(types, calls).collect()}
+    assert reps == {k: "[*" * k + "[X]" + "]" * k for k in range(301)}
+
+
 def test_report(spark):
     nodes = paint(spark, [("A", "f.c", "n1", 1, 10, 1, "k1"), ("B", "f.c", "n1", 1, 11, 1, "k1"), ("A", "f.c", "n2", 30, 40, 2, "k2"), ("B", "f.c", "n3", 50, 60, 3, "k3")])
     hunks = hunk_rows(spark, [(1, "f.c", "+", 3, 3, 3, 0), (2, "f.c", "#", 31, 2, 31, 2), (3, "f.c", "-", 52, 0, 52, 4), (4, "f.c", "+", 2, 1, 2, 2)])
