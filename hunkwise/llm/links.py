@@ -153,17 +153,17 @@ def join_close(rows: DataFrame, closeness: Closeness, verify: Callable[[DataFram
     names = rows.columns
     order = [c for c in names if c != "node"]
     pairs, still = close_pairs(rows, closeness, most, lags)
+    most = min(2 * most, lags)
     tested = cut(pairs.distinct(), "pairs")
     found = cut(verify(tested), "links")
     links = found.count()
     joined = cut(components(found, "a", "b"), "joined")
     if still.isEmpty():
         return joined
-    again = cut(_mixed(rows.join(still, "bucket"), joined).select(*names, "long"), "again")
-    rest = again.filter("not long").select(*names).unionByName(turned(again.filter("long").select(*names)).select(*names))
+    again = cut(_mixed(rows.join(still, "bucket"), joined), "again")
+    rest = again.filter("not long").drop("long").unionByName(turned(again.filter("long").drop("long")))
     while True:
-        most = min(2 * most, lags)
-        rest = cut(_mixed(rest.select(*names), joined).select(*order, "group", "seeks", "node"), "rest")
+        rest = cut(rest.select(*order, "group", "seeks", "node"), "rest")
         pairs, _ = close_pairs(rest, _between(closeness), most, lags)
         pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         new = cut(verify(pairs), "links")
@@ -174,6 +174,8 @@ def join_close(rows: DataFrame, closeness: Closeness, verify: Callable[[DataFram
             return joined
         links += more
         tested = cut(tested.unionByName(pairs), "tested")
+        rest = _mixed(rest.select(*names), joined)
+        most = min(2 * most, lags)
 
 
 def turn(sample: str, width: int, orders: int, to: str) -> Callable[[DataFrame], DataFrame]:

@@ -227,17 +227,21 @@ PART, GATHER = 1 << 20, 1 << 21
 def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], n: int) -> DataFrame:
     """(hash): the 64-bit hashes that several owners have, of about n in all.
 
-    hashes: of a batch, arrays of hashes and of their owners.  Hashes are dealt by range in packed
-    blocks, each of which holds a hash of a task's rows with two owners at most; so a part has as many
-    as its range has different ones for each task, and no frequent one grows.
+    hashes: of a batch, arrays of hashes and of their owners, or hashes and None where each stands for
+    an owner of its own.  Hashes are dealt by range in packed blocks, each of which holds a hash of a
+    task's rows with two owners at most; so a part has as many as its range has different ones for each
+    task, and no frequent one grows.
     """
     parts = max(1, -(-n // PART))
 
     def few(own: list[np.ndarray]) -> np.ndarray:
         """Sorted (hash, owner), each once, of a hash two owners at most."""
         x = np.concatenate(own)
-        x = x[np.lexsort((x[:, 1], x[:, 0]))]
-        x = x[np.append(True, (x[1:] != x[:-1]).any(1))] if len(x) else x
+        if x.shape[1] == 1:
+            x = np.sort(x, 0)
+        else:
+            x = x[np.lexsort((x[:, 1], x[:, 0]))]
+            x = x[np.append(True, (x[1:] != x[:-1]).any(1))] if len(x) else x
         again = x[1:, 0] == x[:-1, 0]
         return x[~np.append(False, again & np.append(False, again[:-1]))] if len(x) else x
 
@@ -248,11 +252,11 @@ def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[tuple[np
             x = few(own)
             part = ((x[:, 0] >> U(32)) * U(parts)) >> U(32)
             heads = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(x) else np.zeros(0, np.int64)
-            return block_rows(part[heads].astype(np.int64), np.split(x, heads[1:]) if len(x) else [])
+            return block_rows(2 * part[heads].astype(np.int64) + x.shape[1] - 1, np.split(x, heads[1:]) if len(x) else [])
 
         for b in batches:
             for h, owner in hashes(b):
-                own.append(np.stack([h.view(U), owner.view(U)], 1))
+                own.append(h.view(U)[:, None] if owner is None else np.stack([h.view(U), owner.view(U)], 1))
                 size += len(h)
                 if size >= GATHER:
                     yield packed()
@@ -260,8 +264,8 @@ def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[tuple[np
         if own:
             yield packed()
 
-    def twice(own: list[bytes]) -> pa.RecordBatch:
-        x = few([np.frombuffer(d, U).reshape(-1, 2) for d in own])[:, 0].view(np.int64)
+    def twice(own: list[bytes], width: int) -> pa.RecordBatch:
+        x = few([np.frombuffer(d, U).reshape(-1, width) for d in own])[:, 0].copy().view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.unique(x[1:][x[1:] == x[:-1]]))], ["hash"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,12 +273,12 @@ def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[tuple[np
         for b in batches:
             for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if k != at and own:
-                    yield twice(own)
+                    yield twice(own, at % 2 + 1)
                     own = []
                 at = k
                 own.append(data)
         if own:
-            yield twice(own)
+            yield twice(own, at % 2 + 1)
 
     dealt = df.mapInArrow(deal, BLOCK_SCHEMA).repartition("block").sortWithinPartitions("block")
     return cut(dealt.mapInArrow(merge, "hash long"), "repeated")
