@@ -142,7 +142,12 @@ def decode_documents(docs: DataFrame, ranks: bytes, pattern: str, ids: str = "id
 
 
 def round_trip(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
-    """``encode_documents`` and ``decode_documents`` in one pass over the rows."""
+    """``encode_documents`` and ``decode_documents`` in one pass over the rows.
+
+    Null and empty texts have no id.  Texts may be of any length, each match of the pattern is encoded by
+    itself.  Of merges of equal rank the leftmost goes first.  Repeated rows are kept; an empty table
+    gives no row.  All columns pass through, but for columns named ids or decoded, which are replaced.
+    """
 
     def both(codec: Codec, arr: pa.Array):
         ids = [codec.encode_bytes(t or "") for t in arr.to_pylist()]

@@ -115,7 +115,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0)
 
     Null text has size 0, a null source is a source of its own, ranked last.  Repeated rows (equal
     id and text) share a hash and are taken together or not at all.  An empty table gives no rows;
-    columns other than doc_id, text and source are ignored.
+    columns other than doc_id, text and source are ignored, whatever their names.  Texts may be of any
+    length: one that is longer than what is left of a target is taken if that comes nearer to it.
     """
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("h"))
     rows = cut(rows.withColumn("sid", source_id(F.col("source"))), "mix-sizes")

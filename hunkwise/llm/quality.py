@@ -199,12 +199,18 @@ def verdict(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: tuple[f
 
 
 def score(docs: DataFrame, **limits) -> DataFrame:
-    """doc_id and the columns of ``verdict``, a row for each document."""
+    """doc_id and the columns of ``verdict``, a row for each document.
+
+    Null text counts as empty: no words, not kept.  A null or unknown language is judged by the pooled
+    reference.  Texts may be of any length.  Repeated rows are kept; an empty table gives no row.  A
+    distance at a limit is within it.  Columns other than doc_id, text and lang are ignored, whatever
+    their names.
+    """
     docs = docs.select("doc_id", "text", "lang")
     return docs.withColumn("v", verdict(docs, **limits)).select("doc_id", "v.*")
 
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
-    """The documents that are kept, with all their columns."""
+    """The documents that are kept, with all their columns; the rest as in ``score``."""
     (v,) = fresh(docs, "_verdict")
     return docs.withColumn(v, verdict(docs, **limits)).filter(F.col(v)["kept"]).select(*docs.columns)

@@ -212,7 +212,7 @@ def _examples(n: int, seed: int) -> list[tuple[bytes, list[tuple[int, int]]]]:
         return r.choice((
             lambda: pick(hexa, r.choice((32, 40, 64))), lambda: "AKIA" + pick(caps, 16), lambda: "ghp_" + pick(alnum, 36),
             lambda: "sk-" + pick(alnum, r.randint(24, 48)), lambda: pick(b64, r.randint(20, 60)) + r.choice(("", "=", "==")),
-            lambda: "eyJ" + pick(alnum, 20) + "." + pick(alnum, 30) + "." + pick(alnum, 27), lambda: "xoxb-" + pick(string.digits, 11) + "-" + pick(alnum, 24),
+            lambda: "eyJ" + ".".join(pick(alnum, r.randint(20, 60)) for _ in range(3)), lambda: pick(b64, r.randint(40, 90)), lambda: "sk_live_" + pick(alnum, 24), lambda: "xoxb-" + pick(string.digits, 11) + "-" + pick(alnum, 24),
             lambda: pick(alnum, r.randint(12, 32)),
         ))()
 
@@ -223,6 +223,7 @@ def _examples(n: int, seed: int) -> list[tuple[bytes, list[tuple[int, int]]]]:
             lambda: f"{pick(hexa, 8)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 12)}", lambda: f"{word()}.{pick(string.digits, 2)}@mail{pick(string.digits, 1)}.example.com",
             lambda: pick(string.digits, r.randint(3, 18)), lambda: f"+1 ({pick(string.digits, 3)}) {pick(string.digits, 3)}-{pick(string.digits, 4)}", lambda: f"{pick(string.digits, 3)}.{pick(string.digits, 3)}.{pick(string.digits, 2)}.{pick(string.digits, 3)}",
             lambda: f"{word()} = {word()}", lambda: f"key: {word()}", lambda: f"the {r.choice(('token', 'password', 'secret', 'key'))} {word()} {word()}", lambda: f"version {pick('0123456789', 1)}.{pick('0123456789', 2)}.0-rc{pick('123', 1)}",
+            lambda: f"{r.choice(('token', 'password', 'secret', 'key'))} = {word()}.{word()}_{r.choice(('token', 'password', 'key'))}()", lambda: f"{r.choice(('password', 'api_key'))}={word()}({word()}_{word()})", lambda: f"{word()}.{word()}({word()}) {word()}_{word()}.{word()}",
             lambda: f"{word()}_{word()}{pick(string.digits, 2)}.{r.choice(('py', 'txt', 'html'))}", lambda: pick(string.ascii_lowercase, r.randint(17, 40)), lambda: pick(string.ascii_uppercase, r.randint(4, 24)),
         ))()
 
@@ -232,17 +233,21 @@ def _examples(n: int, seed: int) -> list[tuple[bytes, list[tuple[int, int]]]]:
         for _ in range(r.choice((0, 0, 1, 1, 2))):
             s, q = secret(), r.choice(("", '"', "'"))
             name = r.choice(("token", "secret", "password", "api_key", "apikey", "passwd", "pwd", "client_secret", "private_key", "auth", "credential", "API_KEY", "AWS_SECRET", "Authorization"))
+            if r.random() < 0.3:
+                name = f"{r.choice(('AWS', 'DB', 'GITHUB', 'STRIPE', 'APP', 'SMTP'))}_{r.choice(('SECRET', 'TOKEN', 'PASSWORD', 'KEY', 'SECRET_ACCESS_KEY', 'PRIVATE_KEY'))}"
+            if r.random() < 0.2:
+                name = f"export {name}"
             form = r.random()
             if form < 0.45:
                 lead = f"{name}{r.choice((' = ', '=', ': ', ' : ', '": '))}{q}"
             elif form < 0.65:
                 lead, q = r.choice(("Authorization: Bearer ", "Bearer ", "Authorization: Basic ", "-----BEGIN RSA PRIVATE KEY----- ", "-----BEGIN OPENSSH PRIVATE KEY----- ")), ""
             elif form < 0.8:
-                lead, q = f"postgres://{word()}:", "@db.example.com"
+                lead, q = f"{r.choice(('postgres', 'mysql', 'redis', 'amqp'))}://{r.choice((word(), ''))}:", f"@{word()}.{r.choice(('local', 'internal', 'example.com'))}"
                 s = pick(alnum, r.randint(10, 20))
             else:
-                lead = f"{r.choice(('access', 'login', 'github', 'stripe', 'aws', 'key', 'user'))} {r.choice(('key ', 'token ', 'secret ', 'is '))}"
-                s = r.choice(("AKIA" + pick(caps, 16), "ghp_" + pick(alnum, 36), "sk-" + pick(alnum, 32)))
+                lead = f"{r.choice(('access', 'login', 'github', 'stripe', 'aws', 'key', 'user', 'jwt'))} {r.choice(('key ', 'token ', 'secret ', 'is ', '', 'password '))}"
+                s = r.choice(("AKIA" + pick(caps, 16), "ghp_" + pick(alnum, 36), "sk-" + pick(alnum, 32), "eyJ" + ".".join(pick(alnum, r.randint(20, 60)) for _ in range(3))))
             parts += [(" " + lead, False), (s, True), (q + " " + say(8), False)]
         for _ in range(r.choice((0, 1, 2))):
             parts.insert(r.choice([k for k in range(len(parts) + 1) if k in (0, len(parts))]), (" " + plain() + " ", False))
@@ -347,8 +352,12 @@ def base_spans(data: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def crf_spans(t: Tokens, labels: np.ndarray) -> list[tuple[int, int]]:
-    """Byte spans of the labelled secrets; an I without a B before it begins one."""
+#: Bytes of the shortest secret that the field reports, as in the assign pattern: a shorter one is hard to tell from a word.
+LEAST = 8
+
+
+def crf_spans(t: Tokens, labels: np.ndarray, least: int = LEAST) -> list[tuple[int, int]]:
+    """Byte spans of the labelled secrets of ``least`` bytes or more; an I without a B before it begins one."""
     hot = np.flatnonzero(labels)
     out: list[tuple[int, int]] = []
     last = -2
@@ -364,7 +373,7 @@ def crf_spans(t: Tokens, labels: np.ndarray) -> list[tuple[int, int]]:
             b -= 1
         while a < b and chr(t.buf[a]) in "\"'(:=":
             a += 1
-        if b - a >= 8:
+        if b - a >= least:
             trimmed.append((a, b))
     return trimmed
 
@@ -424,7 +433,10 @@ def scan(docs: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf: a row for each document.
 
     Spans are ``kind:start:end`` in code points, by start, then kind.  Base spans (assign, access,
-    hex) are all matches of the patterns; the field's own spans (crf) are those that overlap no base
-    span.  Null text counts as empty and has none.  Repeated rows are scanned each.
+    hex) are all matches of the patterns; the field's own spans (crf) are those of ``LEAST`` bytes or
+    more that overlap no base span.  Null text counts as empty and has none.  Spans of one start stand
+    in the order of kinds; labels of equal score go to the earlier one.  Repeated rows are scanned each;
+    an empty table gives no row.  Texts may be of any length, and are tagged as one sequence.  Columns
+    other than doc_id and text are ignored, whatever their names.
     """
     return docs.select("doc_id", scan_column(examples)("text").alias("s")).select("doc_id", "s.*")

@@ -100,7 +100,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFra
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for documents, under the law ``rows``.
 
     Documents are numbered by id, then checksum and size.  A null text has size 1 and checksum 0; a
-    null id comes before all others.
+    null id comes before all others.  Repeated rows have numbers of their own; an empty table gives no
+    row.  Texts may be of any length; columns other than doc_id and text are ignored, whatever their
+    names.
     """
     text = F.coalesce("text", F.lit("")).cast("binary")
     narrow = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
