@@ -147,7 +147,8 @@ def _between(closeness: Closeness) -> Closeness:
 def join_close(rows: DataFrame, closeness: Closeness, verify: Callable[[DataFrame], DataFrame], turned: Callable[[DataFrame], DataFrame], most: int = BEST, lags: int = LAG) -> DataFrame:
     """(vertex, component) of the nodes of rows (bucket, ..., node) that links join.
 
-    verify: of pairs (a, b), those that are links.  turned: of rows, the same rows in other orders, each
+    verify: of pairs (a, b), those that are links; at first it gets the nodes that later pairs are made of
+    too.  turned: of rows, the same rows in other orders, each
     order a bucket of its own.
     """
     names = rows.columns
@@ -155,7 +156,7 @@ def join_close(rows: DataFrame, closeness: Closeness, verify: Callable[[DataFram
     pairs, still = close_pairs(rows, closeness, most, lags)
     most = min(2 * most, lags)
     tested = cut(pairs.distinct(), "pairs")
-    found = cut(verify(tested), "links")
+    found = cut(verify(tested, rows.join(still, "bucket").select("node")), "links")
     links = found.count()
     joined = cut(components(found, "a", "b"), "joined")
     if still.isEmpty():

@@ -195,14 +195,14 @@ def block_rows(keys, arrays) -> pa.RecordBatch:
 MAP_BLOCK = 1 << 13
 
 
-#: Bounds of a bit map's size; beyond the upper one more than a sixteenth of other rows pass it, and joins drop them.
+#: Bounds of a bit map's size; beyond the upper one more of the other rows pass it, and joins drop them.
 FEWEST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
 def bit_map(df: DataFrame, column: str, bits: int | None = None) -> np.ndarray:
-    """A bit map of a column of 64-bit hashes, of ``bits`` bits or, within the bounds, 16 to 32 a row."""
+    """A bit map of a column of 64-bit hashes, of ``bits`` bits or, within the bounds, 64 to 128 a row."""
     if bits is None:
-        bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (16 * df.count()).bit_length()))
+        bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (64 * df.count()).bit_length()))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(bits // 8, np.uint8)
