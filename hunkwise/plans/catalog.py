@@ -294,13 +294,13 @@ placed AS (
 ), tasks AS (
   SELECT p.vertex, p.key, d.depth, coalesce(c.component, p.vertex) AS component
   FROM placed p JOIN deep d USING (vertex) LEFT JOIN (SELECT v, min(w) AS component FROM walk GROUP BY v) c ON c.v = p.vertex
-), layers AS (SELECT component, depth, sum(count(*)) OVER (PARTITION BY component ORDER BY depth) - count(*) AS before FROM tasks GROUP BY ALL),
+), layers AS (SELECT component, depth, sum(n) OVER (PARTITION BY component ORDER BY depth) - n AS before FROM (SELECT component, depth, count(*) AS n FROM tasks GROUP BY component, depth)),
 -- A queue empties layer by layer of the longest path; in a layer, by the turn of the last one that was needed, then by key.
 turns AS (
   SELECT component, vertex, 0 AS depth, CAST(0 AS BIGINT) AS rank, row_number() OVER (PARTITION BY component ORDER BY key, vertex) - 1 AS pop FROM tasks WHERE depth = 0
   UNION ALL
   SELECT n.component, n.vertex, n.depth, n.rank, l.before + row_number() OVER (PARTITION BY n.component ORDER BY n.rank, n.key, n.vertex) - 1
-  FROM (SELECT t.component, t.vertex, t.key, t.depth, max(r.pop) + 1 AS rank FROM turns r JOIN condensed c ON c.src = r.vertex JOIN tasks t ON t.vertex = c.dst AND t.depth = r.depth + 1 GROUP BY ALL) n
+  FROM (SELECT t.component, t.vertex, t.key, t.depth, max(r.pop) + 1 AS rank FROM turns r JOIN condensed c ON c.src = r.vertex JOIN tasks t ON t.vertex = c.dst AND t.depth = r.depth + 1 GROUP BY t.component, t.vertex, t.key, t.depth) n
   JOIN layers l ON l.component = n.component AND l.depth = n.depth
 )"""
 
@@ -335,15 +335,15 @@ def group_report(spark, sf_dir):
 
 _LINES = f"""{_REACH}, {_ONES}, {_HIT},
 each AS (
-  SELECT k.unit, k.diff_type, k.ka, k.kb, t.vertex AS scc, t.component, r.rank, r.pop, coalesce(a.file, b.file) AS file, coalesce(a.start, b.start) AS at,
+  SELECT k.unit, k.diff_type, k.ka, k.kb, t.vertex AS scc, t.component, r.rank, r.pop, coalesce(a.file, b.file) AS file, coalesce(a.start, b.start) AS line_at,
          count(*) OVER (PARTITION BY t.vertex) AS scc_size, h.start_a, h.start_a + h.len_a - 1 AS end_a, h.start_b, h.start_b + h.len_b - 1 AS end_b, h.dcb_id,
          a.start AS a0, a."end" AS a1, b.start AS b0, b."end" AS b1
   FROM kept k LEFT JOIN scc s ON s.vertex = k.unit JOIN tasks t ON t.vertex = coalesce(s.scc, k.unit) JOIN turns r ON r.vertex = t.vertex
   LEFT JOIN sub a ON a.sub_id = k.ka LEFT JOIN sub b ON b.sub_id = k.kb JOIN dcb h ON h.dcb_id = coalesce(a.dcb_id, b.dcb_id)
-), first AS (SELECT component, min((file, at, unit)) AS place FROM each GROUP BY component),
+), first AS (SELECT component, min((file, line_at, unit)) AS place FROM each GROUP BY component),
 item AS (
   SELECT e.*, dense_rank() OVER (ORDER BY f.place) - 1 AS group_id, dense_rank() OVER (PARTITION BY e.component ORDER BY pop DESC) - 1 AS scc_seq,
-         row_number() OVER (PARTITION BY scc ORDER BY file, at, e.unit) - 1 AS item_seq,
+         row_number() OVER (PARTITION BY scc ORDER BY file, line_at, e.unit) - 1 AS item_seq,
          CASE diff_type WHEN '+' THEN 'Apply A' WHEN '-' THEN 'Apply B' ELSE 'Conflict' END AS said
   FROM each e JOIN first f USING (component) WHERE e.unit IN (SELECT unit FROM hit)
 )"""
