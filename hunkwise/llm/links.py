@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from hunkwise.operators.components import components
 from hunkwise.session import cut
 
-LAG, BEST, YIELD = 128, 4, 0.01
+LAG, BEST, YIELD = 128, 4, 0.02
 PAIR, EDGE, OPEN, LONG = 0, 1, 2, 3
 #: Makes of a table's columns a score of how close rows i and j are, on index arrays; -1 is not close.
 Closeness = Callable[[pa.Table], Callable[[np.ndarray, np.ndarray], np.ndarray]]
