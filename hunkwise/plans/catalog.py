@@ -14,7 +14,7 @@ from hunkwise.functions import names, paths, stats
 from hunkwise.operators import components, cycles, facts, hunkgraph, intervals, report, violation
 from hunkwise.plans import analysis, standin
 from hunkwise.session import cut, ship
-from hunkwise.sources import sinks, text
+from hunkwise.sources import ir, sinks, text
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -701,3 +701,33 @@ def prepended_lines(spark, sf_dir):
     counted = c.select(key.alias("line_no"), F.format_string("f%d, %d, %d", key, key % 90, key % 70).alias("line"))
     before = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("line_no"), F.format_string("# 1, %d, = ,2, 3", "s_suppkey").alias("line"))
     return sinks.prepended(sinks.whole_file_hunks(text.parse_direct_merges(merged), text.parse_line_counts(counted)), before)
+
+
+def _module_lines(spark, sf_dir):
+    """Orders as functions of modules in textual form, a hundred each: every third is declared only, every fifth local; each calls the next one."""
+    k = F.col("o_orderkey")
+    path = F.expr("cast(o_orderkey div 100 as string)")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    head = F.when(k % 3 == 0, F.format_string("declare i32 @f%d(i32)", k)).otherwise(F.concat(F.lit("define "), F.when(k % 5 == 0, "internal ").otherwise("dso_local "), F.format_string("i32 @f%d(i32 %%n) #0 !dbg !%d {", k, k + 1)))
+    call, end = F.when(k % 3 != 0, F.format_string("  %%x = call i32 @f%d(i32 %%n), !dbg !9", k + 1)).otherwise(""), F.when(k % 3 != 0, "}").otherwise("")
+    said = F.format_string('!%d = distinct !DISubprogram(name: "f%d", scope: !0, file: !0, line: %d, unit: !2)', k + 1, k, k % 300)
+    rows = o.select(path.alias("path"), k, F.posexplode(F.array(head, call, end, said)).alias("i", "line"))
+    rows = rows.select("path", (F.when(F.col("i") == 3, 1 << 40).otherwise(0) + k * 4 + F.col("i")).alias("line_no"), "line")
+    file = o.select(path.alias("path")).distinct().select("path", F.lit(-1).cast("long").alias("line_no"), F.concat(F.lit('!0 = !DIFile(filename: "./a.c", directory: "/r/'), "path", F.lit('")')).alias("line"))
+    return rows.unionByName(file)
+
+
+@query("""SELECT 'f' || o_orderkey AS symbol, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 = 0 THEN 'internal' ELSE 'external' END AS linkage, o_orderkey % 3 <> 0 AS is_defined, CASE WHEN o_orderkey % 3 <> 0 THEN 'f' || o_orderkey END AS name,
+  CASE WHEN o_orderkey % 3 <> 0 THEN '/r/' || o_orderkey // 100 || '/a.c' END AS file, CAST(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 300 ELSE 0 END AS INT) AS debug_line FROM orders""")
+def module_symbols(spark, sf_dir):
+    lines = cut(_module_lines(spark, sf_dir), "module-lines")
+    return ir.symbols(lines, ir.metadata(lines)).select("symbol", "linkage", "is_defined", "name", "file", "debug_line")
+
+
+@query("""WITH f AS (SELECT o_orderkey AS k, o_orderkey // 100 AS path FROM orders),
+c AS (SELECT a.k, a.path, b.k AS called, coalesce(b.k % 3 <> 0, false) AS defined FROM f a LEFT JOIN f b ON b.k = a.k + 1 AND b.path = a.path WHERE a.k % 3 <> 0)
+SELECT 'func|/r/' || path || '/a.c|' || k % 300 || '|f' || k AS src_key, CASE WHEN defined THEN 'func|/r/' || path || '/a.c|' || called % 300 || '|f' || called END AS dst_key, 'f' || k + 1 AS callee, defined AS callee_defined FROM c""")
+def module_calls(spark, sf_dir):
+    lines = cut(_module_lines(spark, sf_dir), "module-lines")
+    symbols = cut(ir.symbols(lines, ir.metadata(lines)), "symbols")
+    return ir.calls(ir.uses(lines), symbols).select("src_key", "dst_key", "callee", "callee_defined")

@@ -1,8 +1,11 @@
 """Parsers and writers of the text formats."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from hunkwise.sources import sinks, text
+from hunkwise.functions import names
+from hunkwise.operators import facts
+from hunkwise.sources import ir, sinks, text
 
 HUNKS = """@ src/a.c, 100, 90
 + 3, 2, = ,3, 0
@@ -99,3 +102,83 @@ def test_written_report(spark, lines, tmp_path):
     sinks.write_lines(lines("b\na\nc"), ["line"], str(tmp_path / "out"))
     (part,) = (tmp_path / "out").glob("part-*")
     assert part.read_text() == "a\nb\nc\n"
+
+
+MODULE = r"""
+; ModuleID = 'a.c'
+source_filename = "a.c"
+%struct.node = type { i32, ptr }
+
+@count = dso_local global i32 0, align 4, !dbg !0
+@hidden = internal constant i32 7, !dbg !5
+@other = external global i32, align 4
+@.str = private unnamed_addr constant [4 x i8] c"a@b\00", align 1
+
+define dso_local i32 @main(i32 noundef %n) #0 !dbg !20 {
+entry:
+  %x = call i32 @helper(ptr noundef @count), !dbg !30
+  call void @llvm.dbg.declare(metadata ptr %x, metadata !31, metadata !DIExpression()), !dbg !32
+  %y = load i32, ptr @other, align 4
+  %f = load ptr, ptr %p
+  %z = call i32 %f(i32 %y)
+  %w = invoke i32 @"quoted name"(i32 1) to label %a unwind label %b
+  ret i32 %x
+}
+
+define internal i32 @helper(ptr %p) !dbg !22 {
+  ret i32 0
+}
+
+declare i32 @"quoted name"(i32)
+
+!0 = !DIGlobalVariableExpression(var: !1, expr: !DIExpression())
+!1 = distinct !DIGlobalVariable(name: "count", scope: !2, file: !3, line: 4, type: !4, isLocal: false, isDefinition: true)
+!2 = distinct !DICompileUnit(language: DW_LANG_C99, file: !3, producer: "clang, \"x\"")
+!3 = !DIFile(filename: "./src/../a.c", directory: "/r", checksumkind: CSK_MD5, checksum: "00")
+!4 = !DIBasicType(name: "int", size: 32, encoding: DW_ATE_signed)
+!5 = !DIGlobalVariableExpression(var: !6, expr: !DIExpression())
+!6 = distinct !DIGlobalVariable(name: "hidden", scope: !2, file: !3, line: 5, type: !8, isLocal: true, isDefinition: true)
+!8 = !DIDerivedType(tag: DW_TAG_const_type, baseType: !4)
+!9 = distinct !DICompositeType(tag: DW_TAG_structure_type, name: "node", file: !3, line: 8, size: 128, elements: !10)
+!10 = !{!11, !12}
+!11 = !DIDerivedType(tag: DW_TAG_member, name: "value", scope: !9, file: !3, line: 9, baseType: !4, size: 32)
+!12 = !DIDerivedType(tag: DW_TAG_member, name: "next", scope: !9, file: !3, line: 10, baseType: !13, size: 64, offset: 64)
+!13 = !DIDerivedType(tag: DW_TAG_pointer_type, baseType: !9, size: 64)
+!14 = !DICompositeType(tag: DW_TAG_structure_type, name: "ahead", file: !3, line: 12, flags: DIFlagFwdDecl)
+!20 = distinct !DISubprogram(name: "main", scope: !3, file: !3, line: 20, type: !21, scopeLine: 21, flags: DIFlagPrototyped, unit: !2)
+!21 = !DISubroutineType(types: !23)
+!22 = distinct !DISubprogram(name: "helper", linkageName: "_Z6helperPi", scope: !3, file: !3, line: 14, type: !24, unit: !2)
+!23 = !{!4, !4}
+!24 = !DISubroutineType(types: !25)
+!25 = !{null, !13}
+"""
+
+
+def test_modules(spark):
+    lines = spark.createDataFrame([("m1", k, x) for k, x in enumerate(MODULE.split("\n"))] + [("m2", 0, "no module"), ("m3", 0, "")], "path string, line_no int, line string")
+    meta = ir.metadata(lines).cache()
+    assert {r.fields["producer"] for r in meta.filter("what = 'DICompileUnit'").collect()} == {'clang, \\"x\\"'}
+    symbols = ir.symbols(lines, meta).cache()
+    got = {r.symbol: (r.sym_kind, r.linkage, r.is_defined, r["name"], r.file, r.debug_line) for r in symbols.collect()}
+    assert got == {
+        "count": ("gvar", "external", True, "count", "/r/a.c", 4), "hidden": ("gvar", "internal", True, "hidden", "/r/a.c", 5), "other": ("gvar", "external", False, None, None, 0), ".str": ("gvar", "internal", True, None, None, 0),
+        "main": ("func", "external", True, "main", "/r/a.c", 20), "helper": ("func", "internal", True, "helper", "/r/a.c", 14), "quoted name": ("func", "external", False, None, None, 0),
+    }
+    assert {r.node_key for r in ir.definitions(symbols).collect()} == {"gvar|/r/a.c|4|count", "gvar|/r/a.c|5|hidden", "func|/r/a.c|20|main", "func|/r/a.c|14|_Z6helperPi"}
+    uses = ir.uses(lines).cache()
+    assert {(r.symbol, r.callee, r.used) for r in uses.collect()} == {("main", "helper", None), ("main", None, "count"), ("main", "llvm.dbg.declare", None), ("main", None, "other"), ("main", None, None), ("main", "quoted name", None)}
+    calls = ir.calls(uses, symbols).withColumns({"pair_id": F.lit("p"), "variant": F.lit("A")})
+    inside, by_name = facts.callee_links(calls)
+    assert {(r.src_key, r.dst_key) for r in inside.collect()} == {("func|/r/a.c|20|main", "func|/r/a.c|14|_Z6helperPi")}
+    assert {(r.src_key, r.ext_name) for r in by_name.collect()} == {("func|/r/a.c|20|main", "quoted name")}
+    types = ir.types(meta).cache()
+    assert {(r.type_id, r.kind, r.tag, r["name"], r.base_id, r.is_decl) for r in types.collect()} == {
+        ("m1|4", "basic", "other", "int", None, False), ("m1|8", "derived", "const", None, "m1|4", False), ("m1|9", "composite", "other", "node", None, False), ("m1|11", "derived", "other", "value", "m1|4", False), ("m1|12", "derived", "other", "next", "m1|13", False),
+        ("m1|13", "derived", "pointer", None, "m1|9", False), ("m1|14", "composite", "other", "ahead", None, True), ("m1|21", "subroutine", "other", None, None, False), ("m1|24", "subroutine", "other", None, None, False),
+    }
+    members = ir.type_members(meta, ir.lists(lines))
+    assert {tuple(r)[1:] for r in members.collect()} == {("m1|9", 0, "m1|11"), ("m1|9", 1, "m1|12"), ("m1|21", 0, "m1|4"), ("m1|21", 1, "m1|4"), ("m1|24", 0, None), ("m1|24", 1, "m1|13")}
+    reps = {r.type_id: r.rep for r in names.prototypes(types, members).collect()}
+    assert reps["m1|24"] == "{[*[node]]}=1" and reps["m1|21"] == "{[int][int]}=2"
+    resolved = facts.resolve_types(types.withColumn("inside", F.col("kind") != "basic"))
+    assert {(r.type_id, r.base) for r in resolved.collect()} == {("m1|9", "m1|9"), ("m1|12", "m1|9"), ("m1|13", "m1|9"), ("m1|21", "m1|21"), ("m1|24", "m1|24")}
