@@ -185,6 +185,16 @@ def test_components_on_random_graphs(spark, largest, monkeypatch):
     assert {tuple(x) for x in cycles.condensed_edges(e, scc).collect()} == {(want[a], want[b]) for a, b in edges if want[a] != want[b]}
 
 
+def test_layers_against_the_queue(spark):
+    r = random.Random(6)
+    names_ = [f"v{k:02}" for k in range(60)]
+    edges = sorted({(names_[min(a, b)], names_[max(a, b)]) for a, b in ((r.randrange(60), r.randrange(60)) for _ in range(70)) if a != b})
+    v = spark.createDataFrame([(x, str(r.randrange(9))) for x in names_], "vertex string, key string")
+    e = spark.createDataFrame(edges, "src string, dst string")
+    one, other = (sorted(map(tuple, cycles.topological(v, e, k).collect())) for k in (10**6, 0))
+    assert one == other and len(one) == 60
+
+
 def test_rank_is_not_depth(spark):
     e = spark.createDataFrame([("r1", "y"), ("r1", "x"), ("r2", "x")], "src string, dst string")
     v = spark.createDataFrame([("r1", "1"), ("r2", "2"), ("x", "4"), ("y", "3"), ("z", "9")], "vertex string, key string")
