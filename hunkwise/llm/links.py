@@ -9,9 +9,10 @@ These bounds hold for one round only.  ``join_close`` verifies a round's pairs,
 and goes on with the buckets where something is left to look at: those that held more close rows than a
 row pairs with, and those longer than a row is held against.  Where all rows of such a bucket are joined
 by then, nothing can be added and it is dropped.  In the rest, the rows outside a bucket's largest group
-pair with the closest ones of other groups on either side, twice as many a row as the round before; the
-rows of a long bucket stand in several orders, so that each has other rows beside it.  The rounds end
-when nothing is left to look at, or with one that adds less than ``YIELD`` of the links found before it.
+pair with the closest ones of other groups on either side, from then on twice as many a row as the round
+before; the rows of a long bucket stand in several orders, so that each has other rows beside it.  The
+rounds end when nothing is left to look at, or with one that adds less than ``YIELD`` of the links found
+before it.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from hunkwise.operators.components import components
 from hunkwise.session import cut
 
-LAG, BEST, YIELD = 128, 4, 0.02
+LAG, BEST, YIELD = 128, 4, 1 / 16
 PAIR, EDGE, OPEN, LONG = 0, 1, 2, 3
 #: Makes of a table's columns a score of how close rows i and j are, on index arrays; -1 is not close.
 Closeness = Callable[[pa.Table], Callable[[np.ndarray, np.ndarray], np.ndarray]]
@@ -70,19 +72,20 @@ def near_rows(bucket: np.ndarray, score: Callable[[np.ndarray, np.ndarray], np.n
     return at, np.where(code & 1, at + away, at - away), np.flatnonzero(count > most)
 
 
-def _scan(closeness: Closeness, names: list[str], most: int, lags: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of sorted rows: close pairs (kind 0: a, b), the rows at the partition's borders (1), in a the buckets with more close pairs (2) and the long ones (3)."""
+def _scan(closeness: Closeness, names: list[str], most: int, lags: int, borders: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of sorted rows: each node with those that are close (kind 0: a, others), the rows at the partition's borders (1; a: the partition), in a the buckets with more close pairs (2) and the long ones (3)."""
 
-    def rows(kind: int, table: pa.Table | None, a=None, b=None) -> Iterator[pa.RecordBatch]:
-        n = len(a) if a is not None else table.num_rows
-        ends = [pa.array(x) if x is not None else pa.nulls(n, pa.int64()) for x in (a, b)]
+    def rows(kind: int, table: pa.Table | None, a: np.ndarray, others: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
+        n = len(a)
         own = [table.column(c) if table is not None else pa.nulls(n, t) for c, t in zip(names, types)]
-        yield from pa.table([pa.array(np.full(n, kind, np.int32)), *ends, *own], ["kind", "a", "b", *names]).combine_chunks().to_batches()
+        others = pa.nulls(n, pa.list_(pa.int64())) if others is None else others
+        yield from pa.table([pa.array(np.full(n, kind, np.int32)), pa.array(a), others, *own], ["kind", "a", "others", *names]).combine_chunks().to_batches()
 
     types: list = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail, begun = None, False
+        tail, begun, own = None, not borders, TaskContext.get().partitionId()
+        edge = lambda t: rows(EDGE, t, np.full(t.num_rows, own))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -95,46 +98,52 @@ def _scan(closeness: Closeness, names: list[str], most: int, lags: int) -> Calla
             seeks = whole.column("seeks").to_numpy(zero_copy_only=False) if "seeks" in names else None
             i, j, more = near_rows(bucket, closeness(whole), skip, most, lags, seeks)
             if len(i):
-                node = whole.column("node").to_numpy()
-                yield from rows(PAIR, None, np.minimum(node[i], node[j]), np.maximum(node[i], node[j]))
+                node, by = whole.column("node").to_numpy(), np.argsort(i, kind="stable")
+                heads = np.flatnonzero(np.append(True, np.diff(i[by]) > 0))
+                others = pa.ListArray.from_arrays(pa.array(np.append(heads, len(i)).astype(np.int32)), pa.array(node[j[by]]))
+                yield from rows(PAIR, None, node[i[by][heads]], others)
             if not begun:
                 begun = True
-                yield from rows(EDGE, whole.slice(0, int(np.searchsorted(bucket[: lags + 1], bucket[0], "right"))))
+                yield from edge(whole.slice(0, int(np.searchsorted(bucket[: lags + 1], bucket[0], "right"))))
             for kind, found in ((OPEN, bucket[more]), (LONG, bucket[lags:][bucket[lags:] == bucket[:-lags]])):
                 if len(found):
                     yield from rows(kind, None, np.unique(found))
             tail = whole.slice(max(int(np.searchsorted(bucket, bucket[-1])), whole.num_rows - lags))
-        if tail is not None:
-            yield from rows(EDGE, tail)
+        if tail is not None and borders:
+            yield from edge(tail)
 
     return run
 
 
 def close_pairs(rows: DataFrame, closeness: Closeness, most: int = BEST, lags: int = LAG) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b), open buckets (bucket, long)) of rows (bucket, ..., node), sorted by all their columns that can be.
+    """(different pairs (a, b), open buckets (bucket, long)) of rows (bucket, ..., node), sorted by all their columns that can be.
 
     A bucket is open if it holds close pairs beyond those given, and long if rows of it were not held
     against each other.
     """
     names = rows.columns
     order = [f.name for f in rows.schema.fields if not isinstance(f.dataType, T.BinaryType)]
-    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), *[T.StructField(f.name, f.dataType) for f in rows.schema.fields]])
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("others", T.ArrayType(T.LongType())), *[T.StructField(f.name, f.dataType) for f in rows.schema.fields]])
     run = _scan(closeness, names, most, lags)
     found = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema), "close")
-    edge = found.filter(F.col("kind") == EDGE).select(*names).distinct().repartition("bucket").sortWithinPartitions(*order).mapInArrow(run, schema)
-    both = cut(found.filter(F.col("kind") != EDGE).select("kind", "a", "b").unionByName(edge.filter(F.col("kind") != EDGE).select("kind", "a", "b")), "close")
+    edge = found.filter(F.col("kind") == EDGE).select(*names, F.col("a").alias("part")).distinct().repartition("bucket").sortWithinPartitions(*order)
+    across = _scan(_apart(closeness, "part"), [*names, "part"], most, lags, False)
+    edge = edge.mapInArrow(across, T.StructType([*schema.fields, T.StructField("part", T.LongType())]))
+    both = cut(found.filter(F.col("kind") != EDGE).select("kind", "a", "others").unionByName(edge.select("kind", "a", "others")), "close")
     still = both.filter(F.col("kind") != PAIR).groupBy(F.col("a").alias("bucket")).agg((F.max("kind") == LONG).alias("long"))
-    return both.filter(F.col("kind") == PAIR).select("a", "b"), still
+    # A node meets another in several buckets: once is enough.
+    each = both.filter(F.col("kind") == PAIR).groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others")).select("a", F.explode("others").alias("b"))
+    return each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), still
 
 
-def _between(closeness: Closeness) -> Closeness:
-    """Close are only rows of different groups."""
+def _apart(closeness: Closeness, column: str) -> Closeness:
+    """Close are only rows that differ in a column."""
 
     def of(rows: pa.Table):
-        test, group = closeness(rows), rows.column("group").to_numpy()
+        test, own = closeness(rows), rows.column(column).to_numpy()
 
         def apart(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            out, other = np.full(len(i), -1), np.flatnonzero(group[i] != group[j])
+            out, other = np.full(len(i), -1), np.flatnonzero(own[i] != own[j])
             if len(other):
                 out[other] = test(i[other], j[other])
             return out
@@ -144,18 +153,18 @@ def _between(closeness: Closeness) -> Closeness:
     return of
 
 
-def join_close(rows: DataFrame, closeness: Closeness, verify: Callable[[DataFrame], DataFrame], turned: Callable[[DataFrame], DataFrame], most: int = BEST, lags: int = LAG) -> DataFrame:
+def join_close(rows: DataFrame, closeness: Closeness, verify: Callable[[DataFrame], DataFrame], turned: Callable[[DataFrame], DataFrame], most: int = BEST, further: int = BEST, lags: int = LAG) -> DataFrame:
     """(vertex, component) of the nodes of rows (bucket, ..., node) that links join.
 
     verify: of pairs (a, b), those that are links; at first it gets the nodes that later pairs are made of
-    too.  turned: of rows, the same rows in other orders, each
-    order a bucket of its own.
+    too.  turned: of rows, the same rows in other orders, each order a bucket of its own.  most, further:
+    how many others a row pairs with in the first round and in the second.
     """
     names = rows.columns
     order = [c for c in names if c != "node"]
     pairs, still = close_pairs(rows, closeness, most, lags)
-    most = min(2 * most, lags)
-    tested = cut(pairs.distinct(), "pairs")
+    most = min(further, lags)
+    tested = cut(pairs, "pairs")
     found = cut(verify(tested, rows.join(still, "bucket").select("node")), "links")
     links = found.count()
     joined = cut(components(found, "a", "b"), "joined")
@@ -165,8 +174,8 @@ def join_close(rows: DataFrame, closeness: Closeness, verify: Callable[[DataFram
     rest = again.filter("not long").drop("long").unionByName(turned(again.filter("long").drop("long")))
     while True:
         rest = cut(rest.select(*order, "group", "seeks", "node"), "rest")
-        pairs, _ = close_pairs(rest, _between(closeness), most, lags)
-        pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs, _ = close_pairs(rest, _apart(closeness, "group"), most, lags)
+        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         new = cut(verify(pairs), "links")
         more = new.count()
         if more:
