@@ -165,12 +165,13 @@ def join_close(rows: DataFrame, closeness: Closeness, verify: Callable[[DataFram
     pairs, still = close_pairs(rows, closeness, most, lags)
     most = min(further, lags)
     tested = cut(pairs, "pairs")
-    found = cut(verify(tested, rows.join(still, "bucket").select("node")), "links")
+    near = cut(rows.join(still, "bucket"), "near")
+    found = cut(verify(tested, near.select("node")), "links")
     links = found.count()
     joined = cut(components(found, "a", "b"), "joined")
-    if still.isEmpty():
+    if near.isEmpty():
         return joined
-    again = cut(_mixed(rows.join(still, "bucket"), joined), "again")
+    again = cut(_mixed(near, joined), "again")
     rest = again.filter("not long").drop("long").unionByName(turned(again.filter("long").drop("long")))
     while True:
         rest = cut(rest.select(*order, "group", "seeks", "node"), "rest")

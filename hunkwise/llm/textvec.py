@@ -221,7 +221,7 @@ def bit_map(df: DataFrame, column: str, bits: int | None = None) -> np.ndarray:
 
 
 #: Keys that are sorted at once, and that a task gathers before it deals them out.
-PART, GATHER = 1 << 20, 1 << 21
+PART, GATHER = 1 << 20, 1 << 19
 
 
 def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], n: int) -> DataFrame:
