@@ -13,8 +13,8 @@ nodes have make buckets.
 ``links.join_close`` finds the pairs of a bucket, which is sorted by SimHash (64 bits over a line's
 different words, so that frequent words do not make lines alike).  Rows whose SimHashes differ in more
 than ``FAR`` bits, that agree in fewer than ``AGREE`` min-hashes (lines of ``LONG`` words or more have
-bounds of their own, on the sum of both too), or whose lengths rule the similarity out are no pair.  The
-rows of buckets too long to hold all of them against each other are sorted by min-hashes too.
+bounds of their own, on the sum of both too), or whose lengths rule the similarity out are no pair.  All
+other pairs of a bucket are verified, unless others have joined the two by then.
 
 A pair is a link if the edit similarity of the normalised lines, 1 - distance / longer length, reaches
 the threshold.  Of all lines that equality and links join, the first stays: least document id, then text

@@ -12,8 +12,7 @@ Improved consistent weighted sampling (Ioffe) draws ``bands * rows`` samples fro
 agree in a sample with the probability of their weighted Jaccard similarity.  Texts that agree in a
 whole band share a bucket.  ``links.join_close`` finds the pairs of a bucket whose weights and samples
 allow the similarity asked for, and each is verified by the exact weighted Jaccard similarity of the
-two whole texts; the rows of a bucket too long to hold all of them against each other are sorted in
-several orders.  Equal texts are one node throughout, so a group of copies
+two whole texts, unless others have joined the two by then.  Equal texts are one node throughout, so a group of copies
 of any size costs one row.
 """
 
@@ -37,6 +36,8 @@ BANDS, ROWS = 14, 4
 SIMILARITY = 0.8
 SMALL = 1 << 18
 MOST, FURTHER, ORDERS = 2, 4, 2
+#: Texts of a part, two of which a cell pairs.
+CELL = 512
 
 
 def bag(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -268,7 +269,7 @@ def _groups(docs: DataFrame, nodes: DataFrame, freq, threshold: float, n_bands:
     turn = lambda by: F.get("bands", (F.col("k") + by) % n_bands)
     rows = nodes.select("bands", "sample", "total", "node", F.posexplode("bands").alias("k", "bucket"))
     rows = rows.select("bucket", turn(1).alias("next"), turn(2).alias("after"), "total", "sample", "node")
-    verify = lambda pairs, later=None: _links(docs, nodes, pairs, freq, threshold)
+    verify = lambda pairs, later=None: (_links_in_cells if later is None else _links)(docs, nodes, pairs, freq, threshold)
     return links.join_close(rows, _close(n_bands * n_rows, threshold), verify, links.turn("sample", n_bands * n_rows, ORDERS, "next"), MOST, FURTHER)
 
 
@@ -292,6 +293,74 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, freq, threshold:
     return both.withColumn("s", weigh("ta", "tb")).filter(F.col("s") >= threshold).select("a", "b")
 
 
+def _links_in_cells(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, freq, threshold: float) -> DataFrame:
+    """As ``_links``, for many pairs of few nodes: a text goes once to each cell that pairs the texts of two parts, not once to each pair."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = cut(ends.join(nodes.select("node", "key"), "node"), "wanted")
+    texts, parts = _texts(docs, wanted), 1 + wanted.count() // CELL
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    dealt = pairs.select(F.least(part("a"), part("b")).alias("row"), F.greatest(part("a"), part("b")).alias("column"), "a", "b")
+    needs = dealt.select("row", "column", F.explode(F.array("a", "b")).alias("a")).distinct()
+    sent = needs.join(texts.select(F.col("node").alias("a"), "text"), "a").select("row", "column", "a", F.lit(None).cast("long").alias("b"), "text")
+    both = sent.unionByName(dealt.withColumn("text", F.lit(None).cast("string")))
+    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Null sorts first: a cell's texts come before its pairs.
+    both = both.repartition(count, "row", "column").sortWithinPartitions("row", "column", "b", "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, {}
+        for batch in batches:
+            row, column, a = (batch.column(k).to_numpy() for k in range(3))
+            is_pair = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            new = (row[1:] != row[:-1]) | (column[1:] != column[:-1]) | (is_pair[1:] != is_pair[:-1])
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            for s, e in zip(edges[:-1], edges[1:]):
+                if s == e:
+                    continue
+                if cell != (row[s], column[s]):
+                    cell, held = (row[s], column[s]), {}
+                if is_pair[s]:
+                    b = batch.column(3).slice(s, e - s).to_numpy()
+                    near = np.flatnonzero(_similarities(held, a[s:e], b) >= threshold)
+                    yield pa.RecordBatch.from_arrays([pa.array(a[s:e][near]), pa.array(b[near])], ["a", "b"])
+                    continue
+                for i, j, buf, at in tv.chunks(batch.column(4).slice(s, e - s), SMALL):
+                    doc, h, count = bags(buf, at)
+                    own, first = freq.value.weight(h), np.searchsorted(doc, np.arange(j - i + 1))
+                    for k in range(j - i):
+                        x = slice(first[k], first[k + 1])
+                        held[a[s + i + k]] = h[x], count[x], own[x]
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _similarities(held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarities of pairs of nodes by their bags (shingles, counts, weights), none of them empty."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    own = [held[x] for x in names.tolist()]
+    size = np.array([len(h) for h, _, _ in own])
+    first = np.cumsum(size) - size
+    every, code = np.unique(np.concatenate([h for h, _, _ in own]), return_inverse=True)
+    count, weight = (np.concatenate([x[k] for x in own]).astype(np.float64) for k in (1, 2))
+    total = np.add.reduceat(count * weight, first)
+    out, there = np.empty(len(a)), np.zeros(len(every))
+    x, y = at[: len(a)], at[len(a) :]
+    by = np.argsort(x, kind="stable")
+    heads = np.flatnonzero(np.append(True, np.diff(x[by]) > 0))
+    for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(by)]):
+        me = x[by[s]]
+        mine = slice(first[me], first[me] + size[me])
+        there[code[mine]] = count[mine]
+        for k in range(s, e, CELL):
+            to = y[by[k : min(e, k + CELL)]]
+            starts = np.cumsum(size[to]) - size[to]
+            where = np.arange(size[to].sum()) + np.repeat(first[to] - starts, size[to])
+            common = np.add.reduceat(np.minimum(there[code[where]], count[where]) * weight[where], starts)
+            out[by[k : k + len(to)]] = common / (total[me] + total[to] - common)
+        there[code[mine]] = 0
+    return out
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, text) of the wanted (node, key).
 

@@ -78,6 +78,32 @@ def test_rows_whose_closest_are_no_links(shipped):
     assert {(r.vertex, r.component) for r in got} == {(k, k % 150) for k in range(300)}
 
 
+def test_few_links_among_many_close_rows(shipped, monkeypatch):
+    # All 700 rows look alike and stand in no telling order; three pairs of them, far apart, are links.
+    monkeypatch.setattr(links, "TILE", 100)
+    rows = [(7, 0, 0, np.random.default_rng(k).bytes(20), k) for k in range(700)]
+    df = shipped.createDataFrame(rows, "bucket long, order long, sim long, low binary, node long")
+    want = {(0, 0), (350, 0), (100, 100), (450, 100), (200, 200), (690, 200)}
+    few = "(a = 0 and b = 350) or (a = 100 and b = 450) or (a = 200 and b = 690)"
+    for more, dense, group in (("false", links.DENSE, set()), ("false", 0, set()), ("a >= 201 and b = a + 1 and b < 350", links.DENSE, set(range(201, 350)))):
+        monkeypatch.setattr(links, "DENSE", dense)
+        verify = lambda pairs, later=None: pairs.filter(f"({few}) or ({more})")  # noqa: E731, B023
+        got = links.join_close(df, within(3), verify, links.turn("low", 20, 4, "order")).collect()
+        assert {(r.vertex, r.component) for r in got} == want | {(k, 201) for k in group}
+
+
+def test_all_close_against_plain(shipped, monkeypatch):
+    monkeypatch.setattr(links, "TILE", 16)
+    monkeypatch.setattr(links, "AT_ONCE", 50)
+    rng = np.random.default_rng(6)
+    bucket, value, group = rng.integers(0, 4, 300) ** 2, rng.integers(0, 5, 300), rng.integers(0, 6, 300)
+    rows = [(int(b), int((1 << int(v)) - 1), int(g), bool(g), k) for k, (b, v, g) in enumerate(zip(bucket, value, group))]
+    df = shipped.createDataFrame(rows, "bucket long, sim long, group long, seeks boolean, node long")
+    got = [(r.a, r.b) for r in links.all_close(df, within(1)).collect()]
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if bucket[i] == bucket[j] and group[i] != group[j] and abs(value[i] - value[j]) <= 1}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_repeated_hashes(shipped):
     rng = np.random.default_rng(4)
     own = rng.integers(-(1 << 63), (1 << 63) - 1, 500)

@@ -326,6 +326,19 @@ def test_near_duplicates_in_a_long_bucket(shipped):
     assert {x.doc_id: x.group_id for x in minhash.near_duplicates(docs).collect()} == want
 
 
+def test_similarities_of_many_pairs(small):
+    freq = minhash.frequencies(small)
+    texts = [t for t in sorted({r.text or "" for r in small.collect()}) if t.split()][:60]
+    shingles = [tv.shingles(tv.Words(*tv.buffers(pa.array([t]))))[1] for t in texts]
+    held = {}
+    for k, h in enumerate(shingles):
+        _, own, count = minhash.bag(h, np.zeros(len(h), np.int64))
+        held[k] = own, count, freq.weight(own)
+    a, b = np.triu_indices(len(texts), 1)
+    want = [minhash.similarity(shingles[i], shingles[j], freq) for i, j in zip(a, b)]
+    assert np.allclose(minhash._similarities(held, a, b), want, atol=1e-6)
+
+
 def normal(t):
     t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or (0xC0 <= ord(c) <= 0xDE and ord(c) != 0xD7) else c for c in t)
     return re.sub(r"[!-/:-@\[-`{-~]", "", re.sub("[0-9]+", "0", t))
