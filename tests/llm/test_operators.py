@@ -520,6 +520,23 @@ def test_passages_behind_a_common_phrase(shipped):
     assert all((b, a) in got for a, b in got)
 
 
+def test_windows_of_different_passages_meet_all_others(shipped):
+    # 40 windows of one min-hash with 20 equal tokens before c, no two of them copies: neighbours alone are 39 pairs a side.
+    r = np.random.default_rng(8)
+    low, rows = (1 << 30) - 1, []
+    for k in range(40):
+        tail = lambda: int(r.integers(0, 1 << 30))
+        rows.append((5, k // 2, k, (100 << 30) + 100, 77, (0x2AAAAAAA << 30) + (tail() & low), int(r.integers(0, 1 << 60))))
+    df = shipped.createDataFrame(rows, "h long, tid long, c int, ext long, beside long, preceding long, following long")
+    got = {frozenset([(x.tid, x.c), (x.l_tid, x.l_c)]) for x in passages._between(df).collect()}
+    want = {frozenset([(i // 2, i), (j // 2, j)]) for i in range(40) for j in range(i) if i // 2 != j // 2}
+    assert got == want
+    # Text 0 holds both kinds: texts 1 and 2, which hold one each, meet all the same.
+    kinds = [(5, t, 7, (100 << 30) + 100, 77, rows[k][5], rows[k][6]) for k, t in ((0, 0), (0, 1), (1, 0), (1, 2))]
+    met = passages._between(shipped.createDataFrame(kinds, df.schema)).collect()
+    assert {frozenset([x.tid, x.l_tid]) for x in met} == {frozenset(x) for x in ((0, 1), (0, 2), (1, 2))}
+
+
 def test_near_passages_against_plain(shipped):
     # Copies of passages with a word changed at random, among their own words; nearly every text that shares one is found, and no pair of other texts.
     rng = np.random.default_rng(23)
