@@ -155,6 +155,12 @@ class Lines:
 
 def keys(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node's place, key): the keys of lines by their min-hashes and number of words; a key's own place is part of it."""
+    out, has = key_table(low, size)
+    return np.nonzero(has)[0], out[has]
+
+
+def key_table(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A column for each key of lines, and which of them a line has."""
     n, x = len(low), low.astype(tv.U)
     out = np.empty((n, BANDS + SINGLE), np.int64)
     for k in range(BANDS):
@@ -163,7 +169,7 @@ def keys(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out[:, BANDS + k] = tv.mix(x[:, 2 * k]) * tv.STEP[BANDS + k]
     has = np.ones(out.shape, bool)
     has[size >= SHORT, BANDS:] = False
-    return np.nonzero(has)[0], out[has]
+    return out, has
 
 
 def _common(a: str, b: str) -> int:
@@ -241,7 +247,10 @@ def _distances(pairs: list[tuple[str, str]]) -> np.ndarray:
     pairs = [(a, b) if len(a) <= len(b) else (b, a) for a, b in pairs]
     order = sorted(range(len(pairs)), key=lambda k: -len(pairs[k][1]))  # those with a column left stand first
     m, n = (np.array([len(pairs[k][side]) for k in order]) for side in (0, 1))
-    names, code = np.unique(np.concatenate([np.frombuffer(pairs[k][side].encode("utf-32-le", "surrogatepass"), "<u4") for side in (0, 1) for k in order]), return_inverse=True)
+    points = np.frombuffer("".join([pairs[k][side] for side in (0, 1) for k in order]).encode("utf-32-le", "surrogatepass"), "<u4")
+    there = np.zeros(int(points.max()) + 1, bool)
+    there[points] = True
+    names, code = np.flatnonzero(there), (np.cumsum(there) - 1)[points]
     count, blocks, one, top = len(order), -(-int(m.max()) // 64), tv.U(1), tv.U(63)
     place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
     equal = np.zeros((count, len(names), blocks), tv.U)
@@ -271,14 +280,14 @@ def _distances(pairs: list[tuple[str, str]]) -> np.ndarray:
     return out
 
 
-def near_pairs(pairs: list[tuple[str, str]], threshold: float) -> np.ndarray:
-    """Whether the edit similarity of each pair of texts reaches the threshold."""
+def near_pairs(pairs: list[tuple[str, str]], threshold: float, bound: bool = True) -> np.ndarray:
+    """Whether the edit similarity of each pair of texts reaches the threshold; ``bound`` saves time where most do."""
     out, open_ = np.zeros(len(pairs), bool), []
     for k, (a, b) in enumerate(pairs):
         most = int((1 - threshold) * max(len(a), len(b), 1) + 1e-9)
         if abs(len(a) - len(b)) > most:
             continue
-        out[k] = _bound(a, b, most) <= most
+        out[k] = _bound(a, b, most) <= most if bound else a == b
         if not out[k]:
             open_.append((len(a) + len(b), k, most))
     # Texts of like length go together, so many at once that their bit vectors stay small.
@@ -428,7 +437,25 @@ def _join_near(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
         both = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("ta")), "a").join(bodies.select(F.col("node").alias("b"), F.col("body").alias("tb")), "b")
         return both.filter(near("ta", "tb")).select("a", "b")
 
-    return links.join_close(bucket_rows(nodes), _closeness(threshold), verify, links.turn("low", LOWS, ORDERS, "order"), MOST, FURTHER)
+    own = lambda wanted: read[-1].join(wanted, "node").join(nodes.select("node", *PACKED), "node")
+    inside = links.Inside(own, _all_keys, _near(threshold), "chars", 16 * BATCH)
+    return links.join_close(bucket_rows(nodes), _closeness(threshold), verify, links.turn("low", LOWS, ORDERS, "order"), MOST, FURTHER, inside=inside)
+
+
+def _all_keys(rows: pa.Table) -> np.ndarray:
+    low = np.stack([rows.column(c).to_numpy() for c in PACKED], 1).view(np.uint32).reshape(rows.num_rows, LOWS)
+    return key_table(low, rows.column("words").to_numpy())[0]
+
+
+def _near(threshold: float):
+    """Most pairs that are left for the last round are no links."""
+
+    def of(rows: pa.Table):
+        body = rows.column("body").combine_chunks()
+        text = lambda at: body.take(pa.array(at)).to_pylist()
+        return lambda i, j: near_pairs(list(zip(text(i), text(j))), threshold, False)
+
+    return of
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -104,6 +104,52 @@ def test_all_close_against_plain(shipped, monkeypatch):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_borders_in_short_batches(four_partitions):
+    # One bucket, of no more rows than a row is held against, is cut by borders; its batches are shorter than it.
+    spark = four_partitions
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [(7, k << 40, k) for k in range(100)] + [(7, 1 << 60 | k % 2 << 50, 100 + k) for k in range(20)]
+    df = spark.createDataFrame(rows, "bucket long, sim long, node long")
+    every = {(i, j) for i in range(120) for j in range(i + 1, 120) if (rows[i][1] ^ rows[j][1]).bit_count() <= 6}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+        pairs, still = links.close_pairs(df, within(6), links.LAG)
+        assert {(r.a, r.b) for r in pairs.collect()} == every and still.isEmpty()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_links_of_cells_join_what_all_close_links_join(shipped, monkeypatch):
+    monkeypatch.setattr(links, "AT_ONCE", 500)
+    rng = np.random.default_rng(8)
+    n, keys = 400, rng.integers(0, 3, (400, 3)) * 3 + np.arange(3)
+    # Groups of one; a bucket's largest group does not seek.
+    value, group = rng.integers(0, 4, n), np.where(rng.random(n) < 0.2, 0, np.arange(n))
+    linked = lambda x, y: abs(x - y) % 37 == 0
+    rows = [(int(b), (1 << int(value[k])) - 1, int(group[k]), bool(group[k]), k) for k in range(n) for b in keys[k]]
+    df = shipped.createDataFrame(rows, "bucket long, sim long, group long, seeks boolean, node long")
+    own = shipped.createDataFrame([(k, [int(x) for x in keys[k]]) for k in range(n)], "node long, keys array<long>")
+    close = [(i, j) for i in range(n) for j in range(i + 1, n) if group[i] != group[j] and (keys[i] == keys[j]).any() and abs(value[i] - value[j]) <= 1]
+    want = joined(n, [(int(group[i]), int(group[j])) for i, j in close if linked(i, j)])
+
+    def test(table):
+        node = table.column("node").to_numpy()
+        return lambda i, j: linked(node[i], node[j])
+
+    for tile, size, parts in ((1 << 12, "0", "1"), (50, "0", "4"), (1 << 12, "1 << 20", "4")):
+        monkeypatch.setattr(links, "TILE", tile)
+        shipped.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            inside = links.Inside(lambda nodes: own.join(nodes, "node"), lambda t: t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, 3), test, size, 64)
+            got = [(r.a, r.b) for r in links.joining(df, within(1), inside).collect()]
+        finally:
+            shipped.conf.set("spark.sql.shuffle.partitions", "4")
+        assert set(got) <= {(i, j) for i, j in close if linked(i, j)}
+        assert joined(n, [(int(group[i]), int(group[j])) for i, j in got]) == want
+        # Not a row for each link: fewer than the groups that a task holds.
+        assert parts != "1" or len(got) < len(set(group.tolist()))
+
+
 def test_repeated_hashes(shipped):
     rng = np.random.default_rng(4)
     own = rng.integers(-(1 << 63), (1 << 63) - 1, 500)
