@@ -38,6 +38,8 @@ SMALL = 1 << 18
 MOST, FURTHER, ORDERS = 2, 4, 2
 #: Texts of a part, two of which a cell pairs.
 CELL = 512
+#: Pairs of a cell whose similarities are found together.
+TOGETHER = 1 << 15
 
 
 def bag(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,7 +272,41 @@ def _groups(docs: DataFrame, nodes: DataFrame, freq, threshold: float, n_bands:
     rows = nodes.select("bands", "sample", "total", "node", F.posexplode("bands").alias("k", "bucket"))
     rows = rows.select("bucket", turn(1).alias("next"), turn(2).alias("after"), "total", "sample", "node")
     verify = lambda pairs, later=None: (_links_in_cells if later is None else _links)(docs, nodes, pairs, freq, threshold)
-    return links.join_close(rows, _close(n_bands * n_rows, threshold), verify, links.turn("sample", n_bands * n_rows, ORDERS, "next"), MOST, FURTHER)
+
+    def own(wanted: DataFrame) -> DataFrame:
+        named = cut(wanted.join(nodes.select("node", "key", "bands"), "node"), "wanted")
+        return _texts(docs, named.select("node", "key")).join(named.select("node", "bands"), "node")
+
+    keys = lambda rows: rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, n_bands)
+    # A word takes some eight bytes, and its shingle weighs one or two.
+    inside = links.Inside(own, keys, _near(freq, threshold), "total * 8", TOGETHER)
+    return links.join_close(rows, _close(n_bands * n_rows, threshold), verify, links.turn("sample", n_bands * n_rows, ORDERS, "next"), MOST, FURTHER, inside=inside)
+
+
+def _near(freq, threshold: float):
+    """Whether rows' texts reach the threshold; a text's bag is made when a pair first asks for it."""
+
+    def of(rows: pa.Table):
+        text, held = rows.column("text").combine_chunks(), {}
+
+        def test(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            new = np.array([x for x in np.unique(np.concatenate([i, j])).tolist() if x not in held], np.int64)
+            _hold(held, new, text.take(pa.array(new)), freq)
+            return _similarities(held, i, j) >= threshold
+
+        return test
+
+    return of
+
+
+def _hold(held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], names: np.ndarray, texts: pa.Array, freq) -> None:
+    """Puts the texts' bags (shingles, counts, weights) under their names."""
+    for i, j, buf, at in tv.chunks(texts, SMALL):
+        doc, h, count = bags(buf, at)
+        own, first = freq.value.weight(h), np.searchsorted(doc, np.arange(j - i + 1))
+        for k in range(j - i):
+            x = slice(first[k], first[k + 1])
+            held[names[i + k].item()] = h[x], count[x], own[x]
 
 
 def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, freq, threshold: float) -> DataFrame:
@@ -324,12 +360,7 @@ def _links_in_cells(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, freq, t
                     near = np.flatnonzero(_similarities(held, a[s:e], b) >= threshold)
                     yield pa.RecordBatch.from_arrays([pa.array(a[s:e][near]), pa.array(b[near])], ["a", "b"])
                     continue
-                for i, j, buf, at in tv.chunks(batch.column(4).slice(s, e - s), SMALL):
-                    doc, h, count = bags(buf, at)
-                    own, first = freq.value.weight(h), np.searchsorted(doc, np.arange(j - i + 1))
-                    for k in range(j - i):
-                        x = slice(first[k], first[k + 1])
-                        held[a[s + i + k]] = h[x], count[x], own[x]
+                _hold(held, a[s:e], batch.column(4).slice(s, e - s), freq)
 
     return both.mapInArrow(run, "a long, b long")
 
