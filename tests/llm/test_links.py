@@ -105,12 +105,12 @@ def test_all_close_against_plain(shipped, monkeypatch):
 
 
 def test_borders_in_short_batches(four_partitions):
-    # One bucket, of no more rows than a row is held against, is cut by borders; its batches are shorter than it.
+    # Buckets of fewer rows than a row is held against are cut by borders and end behind them; batches are shorter than what stands there.
     spark = four_partitions
     size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    rows = [(7, k << 40, k) for k in range(100)] + [(7, 1 << 60 | k % 2 << 50, 100 + k) for k in range(20)]
+    rows = [(7 + k // 50, k << 40, k) for k in range(120)]
     df = spark.createDataFrame(rows, "bucket long, sim long, node long")
-    every = {(i, j) for i in range(120) for j in range(i + 1, 120) if (rows[i][1] ^ rows[j][1]).bit_count() <= 6}
+    every = {(i, j) for i in range(120) for j in range(i + 1, 120) if rows[i][0] == rows[j][0] and (rows[i][1] ^ rows[j][1]).bit_count() <= 6}
     try:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
         pairs, still = links.close_pairs(df, within(6), links.LAG)
