@@ -23,6 +23,7 @@ key, then line number.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +43,14 @@ LONG, FAR_LONG, AGREE_LONG, LEAD = 16, 20, 6, -8
 MANY = 1 << 24
 MOST, FURTHER, ORDERS = 1, 2, 2
 ANCHOR, STRIDE = 8, 32
-#: Pairs whose distances are found together, code points of them, and of a pair that is done by itself.
-BATCH, TABLE, LONGEST = 1024, 1 << 23, 1600
+#: Pairs whose distances are found together, bytes that their bit vectors take, code points of a pair that is done by itself.
+BATCH, TABLE, LONGEST = 1024, 1 << 23, 1 << 14
+#: So many pairs go together even if their lengths differ by more than a quarter.
+FEW = 32
+#: Columns after which pairs that are too far apart are looked for.
+STEP = 32
+#: Symbols of all pairs that are told apart at once.
+SYMBOLS = 1 << 22
 
 #: What a byte becomes: marks nothing, digits 0, upper case lower; a zero byte stays a byte.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -54,6 +61,10 @@ _FOLD[48:58] = 48
 #: A byte's bits as eight bytes of 0 or 1.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(tv.U).reshape(-1)
 
+#: The least sum of the first bits, none to all eight, of steps up and down, by the bytes of both.
+_STEPS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.int8)
+_LEAST = np.minimum(np.cumsum(_STEPS[:, None] - _STEPS[None], axis=2, dtype=np.int8).min(2), 0).reshape(-1)
+
 
 def normalise(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The normalised bytes of a chunk and the texts' offsets in them; lines stay lines."""
@@ -242,41 +253,100 @@ def _bound(a: str, b: str, most: int) -> int:
     return d
 
 
-def _distances(pairs: list[tuple[str, str]]) -> np.ndarray:
-    """Levenshtein distances of pairs of texts that are not empty, by bit vectors of all pairs at once, a column of the longer texts at a time."""
+def _distances(pairs: list[tuple[str, str]], most: np.ndarray | None = None) -> np.ndarray:
+    """Levenshtein distances of pairs of texts that are not empty, by bit vectors of all pairs at once, a column of the longer texts at a time.
+
+    A distance above its pair's ``most`` may be given as any number above it.  A path to a smaller one stays
+    within ``most`` rows of the diagonal, so only blocks of rows that this band touches are stepped: a row
+    above the band grows by one a column, a block below it by one a row, which is never too little.
+    Every ``STEP`` columns the pairs go that no row of the band leads to the end of within ``most``.
+    """
     pairs = [(a, b) if len(a) <= len(b) else (b, a) for a, b in pairs]
-    order = sorted(range(len(pairs)), key=lambda k: -len(pairs[k][1]))  # those with a column left stand first
+    order = np.array(sorted(range(len(pairs)), key=lambda k: -len(pairs[k][1])))  # those with a column left stand first
     m, n = (np.array([len(pairs[k][side]) for k in order]) for side in (0, 1))
+    bound = n if most is None else np.minimum(most[order], n)
     points = np.frombuffer("".join([pairs[k][side] for side in (0, 1) for k in order]).encode("utf-32-le", "surrogatepass"), "<u4")
     there = np.zeros(int(points.max()) + 1, bool)
     there[points] = True
     names, code = np.flatnonzero(there), (np.cumsum(there) - 1)[points]
     count, blocks, one, top = len(order), -(-int(m.max()) // 64), tv.U(1), tv.U(63)
+    if count > 1 and count * len(names) > SYMBOLS:
+        half = count // 2
+        return np.concatenate([_distances(pairs[s], None if most is None else most[s]) for s in (slice(half), slice(half, None))])
+    # A row for each symbol of a pair's shorter text; row 0 is for all others.
+    own = np.repeat(np.arange(count), m) * len(names) + code[: m.sum()]
+    rows = np.zeros(count * len(names), bool)
+    rows[own] = True
+    rows = np.cumsum(rows, dtype=np.int32) * rows
     place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-    equal = np.zeros((count, len(names), blocks), tv.U)
-    np.bitwise_or.at(equal, (np.repeat(np.arange(count), m), code[: m.sum()], place >> 6), one << (place & 63).astype(tv.U))
+    equal = np.zeros((int(rows.max()) + 1) * blocks, tv.U)
+    np.bitwise_or.at(equal, rows[own] * blocks + (place >> 6), one << (place & 63).astype(tv.U))
+    equal = equal.reshape(-1, blocks)
     owner = np.repeat(np.arange(count), n)
     later = np.zeros((int(n.max()), count), np.int32)
-    later[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), owner] = owner * len(names) + code[m.sum() :]
-    equal = equal.reshape(-1, blocks)
+    later[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), owner] = rows[owner * len(names) + code[m.sum() :]]
     plus, minus = np.full((blocks, count), ~tv.U(0)), np.zeros((blocks, count), tv.U)
-    left = count - np.searchsorted(n[::-1], np.arange(int(n.max())), "right")
-    for j, k in enumerate(left.tolist()):
-        at = np.ascontiguousarray(equal.take(later[j, :k], 0).T)
-        up, down = np.ones(k, tv.U), np.zeros(k, tv.U)
-        for w in range(blocks):
-            pv, mv, eq = plus[w, :k], minus[w, :k], at[w]
-            xv = eq | mv
-            eq = eq | down
-            xh = (((eq & pv) + pv) ^ pv) | eq
-            ph, mh = mv | ~(xh | pv), pv & xh
-            ph, mh, up, down = ph << one | up, mh << one | down, ph >> top, mh >> top
-            plus[w, :k] = mh | ~(xv | ph)
-            minus[w, :k] = ph & xv
-    bits = np.clip(m[None] - 64 * np.arange(blocks)[:, None], 0, 64)
-    used = np.where(bits == 64, ~tv.U(0), (one << np.minimum(bits, 63).astype(tv.U)) - one)
-    out = np.empty(count, np.int64)
-    out[order] = n + np.bitwise_count(plus & used).sum(0, dtype=np.int64) - np.bitwise_count(minus & used).sum(0, dtype=np.int64)
+    out, band = np.empty(count, np.int64), int(bound.max())
+
+    def ends(x: np.ndarray, y: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+        bits = np.clip(m[None] - 64 * np.arange(blocks)[:, None], 0, 64)
+        used = np.where(bits == 64, ~tv.U(0), (one << np.minimum(bits, 63).astype(tv.U)) - one)
+        return n + np.bitwise_count(x & used).sum(0, dtype=np.int64) - np.bitwise_count(y & used).sum(0, dtype=np.int64)
+
+    j, x = 0, plus[0, :0]
+    while count:
+        k = int(np.searchsorted(-n, -j, "left"))  # those of more than j columns
+        if k < count:
+            out[order[k:]] = ends(plus[:, k:], minus[:, k:], m[k:], n[k:])
+            order, m, n, bound, later, plus, minus, count = order[:k], m[:k], n[:k], bound[:k], later[:, :k], plus[:, :k], minus[:, :k], k
+            continue
+        first, last = max(0, (j - band) // 64), min(blocks, (j + band) // 64 + 1)
+        if j and j % STEP == 0:
+            # By eight rows: the least value among them, and the least way from one of them to the end.
+            up, down = (np.ascontiguousarray(side[first:last].T).view(np.uint8) for side in (plus, minus))
+            value = _LEAST[up.astype(np.uint16) << 8 | down].astype(np.int16)
+            steps = np.bitwise_count(up).astype(np.int16) - np.bitwise_count(down)
+            value[:, 1:] += np.cumsum(steps[:, :-1], axis=1, dtype=np.int16)
+            before = np.bitwise_count(plus[:first]).sum(0, dtype=np.int64) - np.bitwise_count(minus[:first]).sum(0, dtype=np.int64)
+            way = (m - n + j - 64 * first).astype(np.int16)[:, None] - 8 * np.arange(value.shape[1], dtype=np.int16)
+            value += np.maximum(np.maximum(way - 8, -way), 0)
+            least = j + before + value.min(1)
+            stay = np.flatnonzero(least <= bound)
+            if len(stay) < 0.9 * count:
+                gone = np.setdiff1d(np.arange(count), stay)
+                out[order[gone]] = least[gone]
+                order, m, n, bound, later, plus, minus, count = order[stay], m[stay], n[stay], bound[stay], later[:, stay], plus[:, stay], minus[:, stay], len(stay)
+                if not count:
+                    break
+                band = int(bound.max())
+        at = np.ascontiguousarray(equal.take(later[j], 0).T)
+        up, down = np.ones(count, tv.U), np.zeros(count, tv.U)
+        if len(x) != count:
+            x, y, z = (np.empty(count, tv.U) for _ in range(3))
+        for w in range(first, last):
+            pv, mv, eq = plus[w], minus[w], at[w]
+            # x: eq | mv; y: xh; z: ph.
+            np.bitwise_or(eq, mv, out=x)
+            np.bitwise_or(eq, down, out=eq)
+            np.bitwise_and(eq, pv, out=y)
+            np.add(y, pv, out=y)
+            np.bitwise_xor(y, pv, out=y)
+            np.bitwise_or(y, eq, out=y)
+            np.bitwise_or(y, pv, out=z)
+            np.invert(z, out=z)
+            np.bitwise_or(z, mv, out=z)
+            np.bitwise_and(y, pv, out=y)  # mh
+            np.left_shift(z, one, out=eq)
+            np.bitwise_or(eq, up, out=eq)
+            np.right_shift(z, top, out=up)
+            np.left_shift(y, one, out=z)
+            np.bitwise_or(z, down, out=z)
+            np.right_shift(y, top, out=down)
+            np.bitwise_and(eq, x, out=mv)
+            np.bitwise_or(x, eq, out=x)
+            np.invert(x, out=x)
+            np.bitwise_or(x, z, out=pv)
+        j += 1
     return out
 
 
@@ -294,12 +364,14 @@ def near_pairs(pairs: list[tuple[str, str]], threshold: float, bound: bool = Tru
     open_.sort()
     while open_:
         some = open_[-max(1, min(BATCH, TABLE // (open_[-1][0] * 8))) :]
+        some = some[bisect.bisect_left(some, (some[-1][0] * 3 // 4,)) :] if len(some) > FEW else some
         del open_[-len(some) :]
         if some[-1][0] > LONGEST:
             out[some[-1][1]] = edit_distance(*pairs[some[-1][1]], some[-1][2]) <= some[-1][2]
             open_ += some[:-1]
             continue
-        out[[k for _, k, _ in some]] = _distances([pairs[k] for _, k, _ in some]) <= np.array([most for *_, most in some])
+        bounds = np.array([most for *_, most in some])
+        out[[k for _, k, _ in some]] = _distances([pairs[k] for _, k, _ in some], bounds) <= bounds
     return out
 
 
@@ -438,7 +510,7 @@ def _join_near(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
         return both.filter(near("ta", "tb")).select("a", "b")
 
     own = lambda wanted: read[-1].join(wanted, "node").join(nodes.select("node", *PACKED), "node")
-    inside = links.Inside(own, _all_keys, _near(threshold), "chars", 16 * BATCH)
+    inside = links.Inside(own, _all_keys, _near(threshold), "chars", 4 * BATCH)
     return links.join_close(bucket_rows(nodes), _closeness(threshold), verify, links.turn("low", LOWS, ORDERS, "order"), MOST, FURTHER, inside=inside)
 
 

@@ -466,6 +466,25 @@ def test_edit_distance_against_plain():
     assert not len(lines.near_pairs([], 0.8))
 
 
+def test_bounded_distances_against_whole_ones():
+    # Within its bound a distance is exact; above it any number above it will do, also where a band leaves blocks out and pairs go early.
+    r, made = random.Random(5), []
+    for size in (1, 63, 64, 65, 128, 200, 450, 1000):
+        for k in range(40):
+            a = [r.choice("abcde é中" if k % 2 else "ab ") for _ in range(size)]
+            b = list(a) if k % 5 else [r.choice("abcde ") for _ in range(size)]
+            for _ in range(int(size * r.uniform(0, 0.4))):
+                b.insert(r.randrange(len(b) + 1), r.choice("abé "))
+                b.pop(r.randrange(len(b)))
+            at = r.randrange(size)
+            made.append(("".join(a), "".join(b[at:] + b[:at] if k % 7 == 0 else b)))
+    most = np.array([max(len(a), len(b)) // 5 for a, b in made])
+    whole, bounded = lines._distances(made), lines._distances(made, most)
+    assert whole.tolist() == [lines.edit_distance(a, b) for a, b in made]
+    assert np.minimum(bounded, most + 1).tolist() == np.minimum(whole, most + 1).tolist()
+    assert 50 < (whole <= most).sum() < len(made) - 50
+
+
 def test_passages(docs):
     got = passages.repeated_passages(docs).collect()
     words = defaultdict(list)
