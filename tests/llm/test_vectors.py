@@ -334,3 +334,15 @@ def test_damaged_gif():
 def test_templates_are_normalised_apart():
     seen = [" ".join(re.findall(r"[a-z0-9]+", t.lower())) for _, t in licences.TEMPLATES]
     assert len(set(seen)) == len(seen)
+
+
+def test_free_memory_goes_back():
+    def mb():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 >> 20
+
+    held = [np.ones(1 << 13) for _ in range(6000)]
+    held = held[-1:]  # what stands last keeps the heap from shrinking by itself
+    before = mb()
+    assert len(list(tv.chunks(pa.array(["a b"])))) == 1
+    assert before - mb() > 200 and held[0][0] == 1
