@@ -508,6 +508,22 @@ def test_passages(docs):
         assert best >= 0.8 and r.end_word - r.start_word >= 50
 
 
+def test_passage_classes(shipped):
+    # 20 texts share a passage, 2 of these another one with text 50; text 60 has a copy and 70 nothing.
+    rng = np.random.default_rng(31)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**7, n)]
+    one, two = word(70), word(60)
+    rows = [(k, word(30) + one + word(10) + (two if k > 18 else word(20))) for k in range(1, 21)] + [(50, two + word(40)), (60, word(80)), (70, word(90))]
+    rows += [(61, rows[21][1]), (51, rows[20][1]), (80, word(10)), (81, rows[-1][1][:9])]
+    docs = shipped.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    rows = passages.passage_classes(docs).collect()
+    got = {r.doc_id: (r.text_id, r.class_id, [tuple(x) for x in r.passages]) for r in rows}
+    want = {k: (k, 1, [(30, 100)]) for k in range(1, 19)} | {k: (k, 1, [(30, 100), (110, 170)]) for k in (19, 20)}
+    want |= {d: (50, 1, [(0, 100)]) for d in (50, 51)} | {d: (60, 60, [(0, 80)]) for d in (60, 61)}
+    assert got == want and len(rows) == len(want)
+    assert all((r.n_verified == 0) == (r.class_id == 60) and r.n_verified <= 20 for r in rows)
+
+
 def test_near_passages(shipped):
     rng = np.random.default_rng(8)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
