@@ -43,10 +43,10 @@ LONG, FAR_LONG, AGREE_LONG, LEAD = 16, 20, 6, -8
 MANY = 1 << 24
 MOST, FURTHER, ORDERS = 1, 2, 2
 ANCHOR, STRIDE = 8, 32
-#: Pairs whose distances are found together, bytes that their bit vectors take, code points of a pair that is done by itself.
-BATCH, TABLE, LONGEST = 1024, 1 << 23, 1 << 14
-#: So many pairs go together even if their lengths differ by more than a quarter.
-FEW = 32
+#: Pairs whose distances are found together, and bytes that their bit vectors take.
+BATCH, TABLE = 1024, 1 << 23
+#: Pairs of like length are done together from so many on, or from a part of their code points on.
+FEW, FEW_OF = 24, 48
 #: Columns after which pairs that are too far apart are looked for.
 STEP = 32
 #: Symbols of all pairs that are told apart at once.
@@ -364,11 +364,14 @@ def near_pairs(pairs: list[tuple[str, str]], threshold: float, bound: bool = Tru
     open_.sort()
     while open_:
         some = open_[-max(1, min(BATCH, TABLE // (open_[-1][0] * 8))) :]
-        some = some[bisect.bisect_left(some, (some[-1][0] * 3 // 4,)) :] if len(some) > FEW else some
+        # A column's steps cost as much for few pairs as for many: a few of the longest are done one by one.
+        longest = some[bisect.bisect_left(some, (some[-1][0] * 3 // 4,)) :]
+        alone = len(longest) < max(FEW, some[-1][0] // FEW_OF)
+        some = longest if alone else some
         del open_[-len(some) :]
-        if some[-1][0] > LONGEST:
-            out[some[-1][1]] = edit_distance(*pairs[some[-1][1]], some[-1][2]) <= some[-1][2]
-            open_ += some[:-1]
+        if alone:
+            for _, k, most in some:
+                out[k] = edit_distance(*pairs[k], most) <= most
             continue
         bounds = np.array([most for *_, most in some])
         out[[k for _, k, _ in some]] = _distances([pairs[k] for _, k, _ in some], bounds) <= bounds
