@@ -593,6 +593,36 @@ def test_near_passages_against_plain(shipped):
     assert all(r.doc_id // 10 == r.match_id // 10 and r.similarity >= 0.8 for r in got)
 
 
+def test_few_passages_join_and_cover_a_group(shipped):
+    # 80 near copies of a passage and 40 texts that hold a phrase of it, two of which share more: not every pair, but the same groups and words.
+    rng = np.random.default_rng(37)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**7, n)]
+    shared, rows = word(130), []
+    for k in range(80):
+        own = list(shared)
+        for at in rng.integers(0, len(own), 3).tolist():
+            own[at] = word(1)[0]
+        rows.append((k, " ".join([*word(int(rng.integers(0, 40))), *own, *word(int(rng.integers(0, 40)))])))
+    more = word(12)
+    rows += [(100 + k, " ".join([*word(60), *shared[:40], *(more if k > 37 else word(12)), *word(30)])) for k in range(40)]
+    docs = shipped.createDataFrame(rows, "tid long, text string")
+    every, few = (f(docs).collect() for f in (passages.passage_links, passages.joining_passages))
+
+    def told(found):
+        words, group = defaultdict(set), {}
+        for r in found:
+            words[r.tid].update(range(r.a0, r.a1 + 5))
+            words[r.lead].update(range(r.b0, r.b1 + 5))
+            a, b = (group.get(t, {t}) for t in (r.tid, r.lead))
+            group.update(dict.fromkeys(a | b, a | b))
+        return words, group
+
+    (words, group), (few_words, few_group) = told(every), told(few)
+    assert few_group == group and {len(x) for x in group.values()} == {80, 2}
+    assert all(words[t] <= few_words[t] for t in words)
+    assert len(every) > 80 * 79 / 3 and len(few) < len(every) / 2
+
+
 def test_neighbours_over_partitions(four_partitions):
     spark = four_partitions
     rng = np.random.default_rng(5)

@@ -187,6 +187,29 @@ def test_passage_match():
     assert passages.match(x[:40], y, 46, 0.8) == []
 
 
+def test_passages_of_many_rows_at_once():
+    # Copies with runs of changed tokens, some turned round: as ``match`` of each pair.
+    rng, many = np.random.default_rng(1), 0
+    for _ in range(60):
+        base, runs = rng.permutation(400)[: rng.integers(60, 300)], []
+        for k in range(12):
+            x = base.copy()
+            for at in rng.integers(0, len(x), rng.integers(0, 12)).tolist():
+                x[at : at + int(rng.integers(1, 16))] = -1
+            x = np.where(x < 0, 10**6 * (k + 1) + np.arange(len(x)), x).astype(np.uint32)
+            runs.append(np.roll(x, int(rng.integers(0, len(x)))) if k % 3 == 0 else x)
+        cols = {"tid": pa.array(range(12), pa.int64()), "start": pa.array([0] * 12, pa.int64()), "run": [x.tobytes() for x in runs], "covered": [b""] * 12}
+        cover = passages._Cover(pa.table(cols), {})
+        assert cover.once.all()
+        for i in range(12):
+            js = np.delete(np.arange(12), i)
+            js = js[cover.common(i, js)[0] >= 46 * 0.8]
+            want = sorted((k, *m) for k, j in enumerate(js) for m in passages.match(runs[j], runs[i], 46, 0.8))
+            assert sorted(zip(*(x.tolist() for x in cover.matches(i, js, 46, 0.8)))) == want
+            many += len(want)
+    assert many > 1000
+
+
 def test_samples_agree_as_often_as_texts_are_alike():
     rng = np.random.default_rng(3)
     h = np.sort(rng.integers(0, 1 << 62, 300, dtype=np.uint64))
